@@ -1,0 +1,213 @@
+"""Mapping free-entered values to the closest entry of a reference list by a prefix-filter set-similarity join.
+
+Distinct values and the entries' labels become sets of q-gram tokens (letters and letter pairs with their occurrence
+numbers, over the folded text with stated decorations removed). Tokens are ordered by global rarity; values and labels
+meet only over the rare prefix that two sets of the needed Jaccard similarity must share; the length filter and the
+positional filter thin the meetings; Jaccard is then computed exactly and the best label of each value is kept.
+Values are joined, never rows, so a value that a third of the rows repeat is compared once.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from talweg.functions.charfold import fold, plain_form
+from talweg.session import cut
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What may be taken off or rewritten before two strings of one kind are compared; ``aliases`` maps spellings to a label."""
+
+    strip: tuple[str, ...] = ()
+    rewrite: tuple[tuple[str, str], ...] = ()
+    aliases: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    exact_up_to: int = 3
+    _compiled: list = field(default_factory=list, compare=False)
+
+
+# How skill levels, campuses, faculties and degrees are written around or instead of the value itself.
+SKILLS = Vocabulary(
+    strip=(
+        r"^(?:精通|熟练掌握|熟练使用|熟练|熟悉|擅长|掌握|了解|proficient in|experienced in|skilled in|familiar with|expert in|knowledge of)[\s:]*",
+        r"\s*\([^()]*\)\s*$", r"\s*/\s*实战$", r"(?<=.)(?:经验|能力|技能)$",
+        r"\s*[,\-/|]+\s*(?:beginner|basic|intermediate|advanced|expert|fluent|native)\s*$", r"\s+\d+\+?\s*(?:yrs?|years?)\.?$",
+    ),
+)
+SCHOOLS = Vocabulary(
+    strip=(
+        r"^(?:毕业于|就读于|the\s)\s*", r"\s*\([^()]*\)?\s*$", r"\s*-+\s*(?:faculty|school|department|dept\.?) of .*$", r",\s*[^,]* campus$",
+        r"(?<=大学|学院)\s*(?:本部|分校|总校)$", r"(?<=大学|学院)[^大]*(?:学院|系|院)$", r"(?<=大学|学院)\s+[^\s]{2,}$",
+    ),
+    rewrite=(
+        (r"\buniv\b\.?|\bu\.(?=\s|$)", "university"), (r"\bi\.\s?t\.(?=\s|$)", "institute technology"), (r"\binst\b\.?", "institute"), (r"\btech\b\.?", "technology"), (r"\bmed\b\.?|\bmedicine\b", "medical"),
+        (r"\bcoll\b\.?", "college"), (r"\bnorm\b\.?", "normal"), (r"\b(?:of|the)\b", " "), (r"大雪$", "大学"), (r"(?<=[㐀-鿿]{2})大$", "大学"),
+        (r"^college\s+medical[\s,]+(.+)$", r"\1 medical college"), (r"^technology institute\s+(.+)$", r"\1 institute technology"),
+        (r"^normal university\s+(.+)$", r"\1 normal university"), (r"^university\s+(.+)$", r"\1 university"),
+    ),
+)
+DEGREES = Vocabulary(
+    strip=(r"^(?:大学|全日制|职业|普通|在职|非全日制)(?=.)", r"(?:学历|学位|毕业|在读|\((?:统招|mba|hons|全日制)\))$", r"\s*(?:degree|diploma)s?$", r"^(?:executive)\s+"),
+    rewrite=((r"^(?:工学|理学|文学|管理学|经济学|法学|医学|教育学|农学)(?=学士|硕士|博士)", ""), (r"'s\b", ""), (r"^研究生\((.+)\)$", r"\1"), (r"^高职\((.+)\)$", r"\1")),
+    aliases=(
+        ("Bachelor", ("b.a.", "ba", "b.sc.", "bsc", "b.eng.", "beng", "b.s.", "bs", "b.com.", "llb", "bachelors", "bachelor of engineering", "bachelor of arts", "bachelor of science", "本科生", "学士学位")),
+        ("Master", ("m.a.", "ma", "m.sc.", "msc", "m.eng.", "meng", "m.s.", "ms", "masters", "master of arts", "master of science", "master of engineering", "研究生", "硕士学位")),
+        ("Doctorate", ("ph.d.", "ph.d", "phd", "dphil", "doctor of philosophy", "doctoral", "doctor", "博士研究生", "博士生")),
+        ("Associate", ("a.a.s.", "aas", "a.a.", "a.s.", "assoc.", "assoc", "associate of arts", "大学专科", "高职")),
+        ("MBA", ("m.b.a.", "master of business administration", "emba", "工商管理")),
+        ("High School", ("highschool", "high-school", "secondary school", "senior high school")),
+        ("Vocational Secondary", ("vocational secondary school", "vocational school", "secondary vocational", "中职")),
+    ),
+)
+VOCABULARIES = {"skill": SKILLS, "school": SCHOOLS, "degree": DEGREES}
+
+_SPACED_HAN = re.compile(r"(?<=[㐀-鿿])\s+(?=[㐀-鿿])")
+_SINGLE_SPACED = re.compile(r"^(?:\S\s)+\S$")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
+_SEPARATORS = re.compile(r"[\s_,'’‘\-·]+")
+
+
+def compare_key(value: str, vocabulary: Vocabulary = Vocabulary()) -> str:
+    """The text that is compared: folded, decorations stripped, rewrites applied, blanks and separators removed."""
+    text = " ".join(plain_form(value).split())
+    if vocabulary.rewrite:
+        text = _CAMEL.sub(" ", text)
+    text = fold(text)
+    if _SINGLE_SPACED.match(text):
+        text = text.replace(" ", "")
+    for _ in range(3):
+        before = text
+        for pattern in vocabulary.strip:
+            shorter = re.sub(pattern, "", text).strip()
+            text = shorter or text
+        if text == before:
+            break
+    text = _SPACED_HAN.sub("", text)
+    for pattern, to in vocabulary.rewrite:
+        text = re.sub(pattern, to, text).strip()
+    for _, spellings in vocabulary.aliases:
+        if text in spellings:
+            return "=" + _SEPARATORS.sub("", spellings[0])
+    return _SEPARATORS.sub("", text)
+
+
+def tokens(key: str) -> list[str]:
+    """Letters and letter pairs, each with its occurrence number, so that a set stands for the multiset."""
+    padded = "^" + key + "$"
+    grams = [*key, *(padded[i : i + 2] for i in range(len(padded) - 1))] if key else []
+    seen: Counter = Counter()
+    out = []
+    for g in grams:
+        seen[g] += 1
+        out.append(f"{g}{seen[g]}")
+    return out
+
+
+def _tokenised(values: DataFrame, vocabularies: dict[str, Vocabulary]) -> DataFrame:
+    """kind, value → with compare_key and tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = [compare_key(v, vocabularies.get(k, Vocabulary())) for k, v in zip(b["kind"], b["value"], strict=True)]
+            yield b.assign(compare_key=keys, tokens=[tokens(k) for k in keys])
+
+    return values.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in values.dtypes) + ", compare_key string, tokens array<string>")
+
+
+def similarity_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs (left.id, right.id, jaccard) of at least ``least`` within one ``kind``; both sides: id, kind, tokens (array of distinct strings)."""
+    both = left.select("kind", F.explode("tokens").alias("t")).unionAll(right.select("kind", F.explode("tokens").alias("t")))
+    rarity = both.groupBy("kind", "t").agg(F.count("*").alias("df"))
+
+    def ordered(side: DataFrame) -> DataFrame:
+        counted = side.select("id", "kind", F.explode("tokens").alias("t")).join(rarity, ["kind", "t"])
+        sets = counted.groupBy("id", "kind").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
+        return sets.select("id", "kind", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n"))
+
+    def prefixes(side: DataFrame) -> DataFrame:
+        keep = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1
+        return side.select("id", "kind", "s", "n", F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("p", "t"))
+
+    a = prefixes(ordered(left)).alias("a")
+    b = prefixes(ordered(right)).alias("b")
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)))
+    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.t") == F.col("b.t"))).where(
+        (F.col("a.n") >= F.col("b.n") * F.lit(least)) & (F.col("b.n") >= F.col("a.n") * F.lit(least))
+        & (1 + F.least(F.col("a.n") - F.col("a.p") - 1, F.col("b.n") - F.col("b.p") - 1) >= needed - F.least("a.p", "b.p"))
+    )
+    pairs = met.groupBy(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).agg(
+        F.first("a.s").alias("s"), F.first("b.s").alias("z")
+    )
+    common = F.size(F.array_intersect("s", "z"))
+    return pairs.select("left_id", "right_id", (common / (F.size("s") + F.size("z") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
+
+
+def map_values(
+    values: DataFrame, entries: DataFrame, least: float = 0.45, sure: float = 0.8, vocabularies: dict[str, Vocabulary] | None = None
+) -> DataFrame:
+    """The entry meant by each distinct (kind, value): columns kind, value, ref_id (0: the list has none), jaccard, compare_key.
+
+    ``entries``: ref_id, ref_kind, label_text, alt_labels. A pair under ``sure`` counts only if the edit distance of the two
+    keys confirms it (one edit, two from nine characters, three from 18, four from 27); keys of up to ``exact_up_to`` characters must be equal. Ties
+    go to the higher similarity, the smaller distance, then the smaller ref_id. Null and blank values give no row; very
+    long values are compared whole; repeated values count once; an empty list gives 0 for every value.
+    """
+    vocabularies = VOCABULARIES if vocabularies is None else vocabularies
+    aliases = [(kind, label, spelling) for kind, v in vocabularies.items() for label, spellings in v.aliases for spelling in spellings]
+    spark = values.sparkSession
+    labels = entries.select("ref_id", F.col("ref_kind").alias("kind"), "label_text", F.explode(F.concat(F.array("label_text"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("value"))
+    if aliases:
+        extra = spark.createDataFrame(aliases, "kind string, label_text string, value string")
+        named = entries.select("ref_id", F.col("ref_kind").alias("kind"), "label_text").join(F.broadcast(extra), ["kind", "label_text"])
+        labels = labels.unionByName(named)
+    labels = labels.where("value is not null and trim(value) <> ''").select("ref_id", "kind", "value").distinct()
+    right = cut(_tokenised(labels, vocabularies).dropDuplicates(["kind", "ref_id", "compare_key"])
+                .withColumn("id", F.concat_ws("\u0001", F.col("ref_id").cast("string"), "compare_key")))
+    distinct = values.select("kind", "value").where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\s\p{Z}]*$")).distinct()
+    keyed = cut(_tokenised(distinct, vocabularies).drop("tokens"))
+    # Many spellings share one key; only distinct keys enter the join.
+    keys = keyed.where("compare_key <> ''").select("kind", "compare_key").distinct().withColumn("id", F.concat_ws("\u0001", "kind", "compare_key"))
+    equal = keys.join(right.select("kind", "compare_key", "ref_id"), ["kind", "compare_key"]).groupBy("kind", "compare_key").agg(F.min("ref_id").alias("ref_id"))
+    shortest = max((v.exact_up_to for v in vocabularies.values()), default=3)
+    open_keys = keys.join(equal, ["kind", "compare_key"], "left_anti").where((F.length("compare_key") > shortest) & ~F.col("compare_key").startswith("="))
+    left = _key_tokens(open_keys)
+    fuzzy = similarity_join(left, right.where((F.length("compare_key") > shortest) & ~F.col("compare_key").startswith("=")).select("id", "kind", "tokens"), least)
+    k = F.col("compare_key")
+    near = fuzzy.select(
+        F.element_at(F.split("left_id", "\u0001"), 1).alias("kind"), F.element_at(F.split("left_id", "\u0001"), 2).alias("compare_key"),
+        F.element_at(F.split("right_id", "\u0001"), 1).cast("int").alias("ref_id"), F.element_at(F.split("right_id", "\u0001"), 2).alias("ref_key"), "jaccard",
+    ).withColumn("edits", F.levenshtein(k, F.col("ref_key")))
+    allowed = F.greatest(F.lit(1), F.floor(F.length(k) / 9) + 1)
+    swapped = (F.col("edits") == 2) & (F.array_sort(F.split(k, "")) == F.array_sort(F.split(F.col("ref_key"), "")))
+    near = near.where((F.col("jaccard") >= sure) | (F.col("edits") <= allowed) | swapped)
+    by = Window.partitionBy("kind", "compare_key").orderBy(F.desc("jaccard"), F.asc("edits"), F.asc("ref_id"))
+    best = near.withColumn("r", F.row_number().over(by)).where("r = 1").select("kind", "compare_key", "ref_id", "jaccard")
+    answers = equal.withColumn("jaccard", F.lit(1.0)).unionByName(best)
+    return keyed.join(answers, ["kind", "compare_key"], "left").select("kind", "value", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), "jaccard", "compare_key")
+
+
+def _key_tokens(keys: DataFrame) -> DataFrame:
+    """id, kind, tokens of compare keys, by built-in functions: the same tokens as :func:`tokens`."""
+    chars = F.filter(F.split("compare_key", ""), lambda c: c != "")
+    padded = F.concat(F.lit("^"), F.col("compare_key"), F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("compare_key") + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    numbered = F.transform(F.concat(chars, pairs), lambda g, i: F.concat(g, F.size(F.filter(F.slice(F.concat(chars, pairs), F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    return keys.select("id", "kind", numbered.alias("tokens"))
+
+
+def map_rows(rows: DataFrame, entries: DataFrame, keys: Sequence[str], **how) -> DataFrame:
+    """Each row's value with its entry: ``keys``, kind, value, ref_id. Rows equal to a label character for character are left out.
+
+    The list is small by nature, and its size decides how it meets the rows (adaptive execution); a hot value meets one mapping row, in a
+    join that adaptive execution splits.
+    """
+    known = entries.select(F.col("ref_kind").alias("kind"), F.col("label_text").alias("value")).distinct()
+    free = rows.where("value is not null").join(known, ["kind", "value"], "left_anti")
+    return free.join(map_values(free, entries, **how).drop("compare_key"), ["kind", "value"])
