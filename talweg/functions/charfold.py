@@ -38,20 +38,32 @@ def script(c: str) -> str:
     return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
 
 
-def plain_letters(text: str) -> str:
+_OTHER_SCRIPTS = {"CYRILLIC", "GREEK", "ARMENIAN"}
+
+
+def genuine_scripts(text: str) -> set[str]:
+    """Other scripts of which the text has a genuine word: one with a letter that looks like no Latin letter, and with no Latin letter."""
+    found: set[str] = set()
+    for m in _WORD.finditer(text):
+        others = {script(c) for c in m[0] if c not in LOOKALIKE}
+        if "LATIN" not in others:
+            found |= others & _OTHER_SCRIPTS
+    return found
+
+
+def plain_letters(text: str, genuine: set[str] | None = None) -> str:
     """Replaces look-alike letters: in words that mix scripts, and in words made of look-alikes alone unless the text has a genuine word of that script."""
     if text.isascii():
         return text
+    genuine = genuine_scripts(text) if genuine is None else genuine
     words = [m.span() for m in _WORD.finditer(text)]
-    genuine: set[str] = set()
     todo = []
     for a, b in words:
         word = text[a:b]
         foreign = [c for c in word if c in LOOKALIKE]
         others = {script(c) for c in word if c not in LOOKALIKE}
-        if foreign and ("LATIN" in others or not (others & {"CYRILLIC", "GREEK", "ARMENIAN"})):
+        if foreign and ("LATIN" in others or not others & _OTHER_SCRIPTS):
             todo.append((a, b, "LATIN" in others))
-        genuine |= others & {"CYRILLIC", "GREEK", "ARMENIAN"}
     out = list(text)
     for a, b, mixed in todo:
         for i in range(a, b):
@@ -65,11 +77,16 @@ def plain_letters(text: str) -> str:
     return "".join(out)
 
 
-def plain_form(text: str) -> str:
+def settled(text: str) -> str:
+    """Everything of the plain form but the replacement of look-alike letters."""
+    return unicodedata.normalize("NFKC", text.translate(_SINGLE))
+
+
+def plain_form(text: str, genuine: set[str] | None = None) -> str:
     """Half-width, composed, with ordinary blanks and dashes, no invisible characters and no look-alikes; otherwise unchanged."""
     if text.isascii():
         return text
-    return plain_letters(unicodedata.normalize("NFKC", text.translate(_SINGLE)))
+    return plain_letters(settled(text), genuine)
 
 
 def fold(text: str) -> str:
