@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.llm.normalise import changed_values
 from talweg.llm.pii import find_personal_data, redact
+from talweg.llm.scan_noise import find_noise, noise_kinds, repair
 from talweg.session import table
 
 
@@ -66,5 +67,20 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("resume_id", "field_name", "item_no", "clean_text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_spellings": p3_spellings, "p5_found": p5_found, "p5_redacted": p5_redacted}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of resumes with each kind of scanning damage in them."""
+    keys = ["resume_id", "field_name", "item_no"]
+    return noise_kinds(find_noise(resume_texts(spark, sf_dir, basic=False)), keys).select(*keys, "noise_kind")
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that scanning damaged, as continuous paragraphs."""
+    clean = repair(resume_texts(spark, sf_dir, basic=False).distinct())
+    return clean.where("clean_text <> raw_text").select("resume_id", "field_name", "item_no", "clean_text")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_repaired": p1_repaired,
+    "p3_found": p3_found, "p3_spellings": p3_spellings, "p5_found": p5_found, "p5_redacted": p5_redacted,
+}
 ORACLES: dict[str, str] = {}
