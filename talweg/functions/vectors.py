@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def rounded(c: Column, digits: int = 1) -> Column:
     """Half-even on the binary value, unlike round(): the decimal text of the double decides."""
-    return F.format_number(c, "0." + "0" * digits).cast("double")
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits)).cast("double")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,10 +54,15 @@ def hash_bucket(token: Column, dim: int) -> Column:
     return out.cast("int")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also where ``use`` refers to it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hash_embedding(text: Column, dim: int = 128) -> Column:
     """Counts of hashed white-space tokens, at length 1; zeros for empty text."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != "")
     buckets = F.transform(words, lambda t: hash_bucket(t, dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    length = norm(counts)
-    return F.transform(counts, lambda x: F.when(length > 0, x / length).otherwise(x))
+    counts = bound(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")))
+    sized = bound(counts, lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
+    return bound(sized, lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.functions.charfold import fold, plain_form
+from talweg.functions.vectors import bound
 from talweg.session import cut
 
 
@@ -198,7 +199,8 @@ def _key_tokens(keys: DataFrame) -> DataFrame:
     chars = F.filter(F.split("compare_key", ""), lambda c: c != "")
     padded = F.concat(F.lit("^"), F.col("compare_key"), F.lit("$"))
     pairs = F.transform(F.sequence(F.lit(1), F.length("compare_key") + 1), lambda i: F.substring(padded, i, F.lit(2)))
-    numbered = F.transform(F.concat(chars, pairs), lambda g, i: F.concat(g, F.size(F.filter(F.slice(F.concat(chars, pairs), F.lit(1), i + 1), lambda h: h == g)).cast("string")))
+    grams = F.concat(chars, pairs)
+    numbered = bound(grams, lambda all_: F.transform(all_, lambda g, i: F.concat(g, F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda h: h == g)).cast("string"))))
     return keys.select("id", "kind", numbered.alias("tokens"))
 
 
