@@ -1,0 +1,69 @@
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from talweg.operators.splitting import cuts, landmarks, split_items, split_text
+
+
+def joined(text, spans, overlap):
+    return "".join(text[a + (overlap if i else 0) : b] for i, (a, b) in enumerate(spans))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab，。 \né́x.", max_size=400), st.integers(12, 60), st.integers(0, 10))
+def test_round_trip_sizes_and_overlap(text, most, overlap):
+    spans = split_text(text, most, overlap)
+    assert joined(text, spans, overlap) == text
+    assert all(b - a <= most for a, b in spans)
+    assert all(x[1] - y[0] == overlap for x, y in zip(spans, spans[1:]))
+
+
+def test_natural_boundaries_and_long_runs():
+    text = "This is a sentence of some length. " * 100
+    at = cuts(text, 320, 40)[1:-1]
+    assert at and all(text[:c].endswith((". ", ".")) for c in at)
+    run = "x" * 100_000
+    assert joined(run, split_text(run, 400, 50), 50) == run
+
+
+def test_edit_moves_only_near_cuts():
+    words = random.Random(4)
+    text = "".join("".join(words.choice("abcdefghij") for _ in range(words.randint(2, 9))) + words.choice([" ", ". ", ", ", "\n"]) for _ in range(4000))
+    edited = text[:9000] + "INSERTED WORDS HERE. " + text[9000:]
+    shift = len(edited) - len(text)
+    before, after = set(cuts(text, 1800, 150)), set(cuts(edited, 1800, 150))
+    later = {c + shift for c in before if c > 9000}
+    assert {c for c in before if c < 7000} <= after
+    assert len(later & after) >= 0.8 * len(later)
+
+
+def test_landmarks_need_a_window():
+    assert len(landmarks("short")) == 0
+
+
+def test_items_with_nulls_empty_repeats_and_extra_columns(spark):
+    rows = [("a", None, 30, 5, 1), ("b", "", 30, 5, 1), ("c", "tiny", 30, 5, 1), ("d", "word " * 30, 30, 5, 1), ("d", "word " * 30, 30, 5, 1)]
+    items = spark.createDataFrame(rows, "rec string, item_text string, max_size int, overlap_size int, piece_no int").drop("piece_no").withColumnRenamed("rec", "key")
+    got = split_items(items, ["key"]).collect()
+    assert {r["key"] for r in got} == {"b", "c", "d"}
+    assert [r["piece_text"] for r in got if r["key"] in "bc"].count("tiny") == 1
+    d = [r for r in got if r["key"] == "d"]
+    assert len(d) == 2 * d[0]["n_pieces"] and max(len(r["piece_text"]) for r in d) <= 30
+    assert split_items(items.limit(0), ["key"]).count() == 0
+
+
+def test_overlap_over_limit():
+    with pytest.raises(ValueError):
+        split_text("x" * 50, 10, 10)
+
+
+def test_found_like_sql(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    from talweg.plans.data_queries import ORACLES, p2_found
+
+    con = duckdb.connect()
+    for t in ("jobs", "resumes", "size_limits"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
+    assert {tuple(r) for r in p2_found(spark, sf).collect()} == set(con.execute(ORACLES["p2_found"]).fetchall())
