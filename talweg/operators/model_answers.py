@@ -55,17 +55,19 @@ def _fields(*groups: Sequence[str]) -> str:
 def _schema() -> str:
     """Every name a model may use, as text: lists and objects inside come as their JSON."""
     basic = _fields(*BASIC_NAMES.values(), ("links", "raw_block"))
-    education, work, project = (_fields(*names.values(), ITEM_NAMES) for names in (EDUCATION_NAMES, WORK_NAMES, PROJECT_NAMES))
     extra = _fields(*_ADDITIONAL_NAMES.values(), _SKILL_NAMES)
-    return f"basic struct<{basic}>, education array<struct<{education}>>, work_experience array<struct<{work}>>, projects array<struct<{project}>>, skills string, additional struct<{extra}>"
+    return f"basic struct<{basic}>, education array<string>, work_experience array<string>, projects array<string>, skills string, additional struct<{extra}>"
 
 
 def _field(node: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*[F.when(~blank(node[n]), strip(node[n])) for n in names], F.lit(""))
 
 
-def _rows(node: Column, name: str, fields: str) -> Column:
-    return F.filter(F.coalesce(node[name], F.array().cast(f"array<struct<{fields}>>")), lambda x: x.isNotNull())
+def _rows(node: Column, name: str, names: dict[str, tuple[str, ...]]) -> Column:
+    """The objects of a list, each read by itself so that one of another kind costs no other."""
+    fields = f"struct<{_fields(*names.values(), ITEM_NAMES)}>"
+    objects = F.filter(F.coalesce(node[name], F.array().cast("array<string>")), lambda x: x.isNotNull() & x.startswith("{"))
+    return F.filter(F.transform(objects, lambda x: F.from_json(x, fields)), lambda x: x.isNotNull())
 
 
 def _texts(raw: Column) -> Column:
@@ -120,17 +122,15 @@ def layer1_of_answer(answer: Column) -> Column:
     def project(row: Column) -> Column:
         return bound(_record(row, PROJECT_NAMES), lambda r: r.withField("descriptions", _filled(_list(row, ITEM_NAMES), r["raw_block"], PROJECT_LABELS, [r["project_name"]], 5)))
 
-    work_fields, project_fields = (_fields(*names.values(), ITEM_NAMES) for names in (WORK_NAMES, PROJECT_NAMES))
-
     def whole(node: Column) -> Column:
         basic, extra = node["basic"], node["additional"]
-        rows = F.struct(F.transform(_rows(node, "work_experience", work_fields), work).alias("w"), F.transform(_rows(node, "projects", project_fields), project).alias("p"))
+        rows = F.struct(F.transform(_rows(node, "work_experience", WORK_NAMES), work).alias("w"), F.transform(_rows(node, "projects", PROJECT_NAMES), project).alias("p"))
 
         def assembled(r: Column) -> Column:
             blocks = F.concat(F.array(_field(extra, ("raw_block",))), r["p"]["raw_block"], r["w"]["raw_block"])
             named = F.flatten(F.transform(blocks, lambda b: F.flatten(F.transform(labelled(b, SKILL_LABELS), lambda s: F.split(s, "[、,，;/；|]+")))))
             skills = F.filter(F.transform(F.concat(F.coalesce(_texts(node["skills"]), F.array().cast("array<string>")), _list(extra, _SKILL_NAMES), named), lambda s: strip(s)), lambda s: s != "")
-            education = F.transform(_rows(node, "education", _fields(*EDUCATION_NAMES.values(), ITEM_NAMES)), lambda row: _record(row, EDUCATION_NAMES))
+            education = F.transform(_rows(node, "education", EDUCATION_NAMES), lambda row: _record(row, EDUCATION_NAMES))
             additional = F.struct(*[(_list if n in ("languages", "certificates", "awards") else _field)(extra, names).alias(n) for n, names in _ADDITIONAL_NAMES.items()])
             return F.struct(
                 _record(basic, BASIC_NAMES, _list(basic, ("links",)).alias("links"), _field(basic, ("raw_block",)).alias("raw_block")).alias("basic"), education.alias("education"),

@@ -141,6 +141,7 @@ def _groups(lines: list[str], starts) -> list[list[str]]:
 
 
 def education_entries(text: str, most: int = 12) -> list[dict]:
+    text = "\n".join(x for x in text.splitlines() if (title_of(x) or ("",))[0] != "education")
     paragraphs = [p.strip() for p in re.split(r"\n\s*\n+", text) if p.strip()]
     groups = _groups(paragraphs, lambda p: bool(_DEGREE.search(p[:40]) or _YEAR_START.match(p) or _SCHOOL.search(p)))
     blocks = ["\n".join(g) for g in groups]
@@ -149,7 +150,7 @@ def education_entries(text: str, most: int = 12) -> list[dict]:
         blocks = ["\n".join(g) for g in _groups(lines, lambda x: bool(_YEAR_START.match(x.strip()) or (_DEGREE.search(x[:30]) and _SCHOOL.search(x))))]
     out = []
     for block in blocks[:most]:
-        lines = [x.strip() for x in block.splitlines() if x.strip() and (title_of(x) or ("",))[0] != "education"]
+        lines = [x.strip() for x in block.splitlines() if x.strip()]
         school = next((x for x in lines if _SCHOOL.search(x)), lines[0] if lines else "")
         degree, years = _DEGREE.search(block), _YEARS.search(block)
         out.append({"school": school[:200], "degree": degree[0] if degree else "", "major": "", "start": years[1] if years else "", "end": years[2] if years else "", "raw_block": block})

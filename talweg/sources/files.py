@@ -38,7 +38,7 @@ def read_files(spark: SparkSession, path: str, page_reader: Callable[[bytes], st
     here and go to ``page_reader`` (bytes to text), without which they are empty.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").withColumn("kind", file_kind(F.col("path")))
-    plain = files.where("kind = 'text'").select("path", "kind", strip(F.decode("content", "UTF-8")).alias("file_text"))
+    plain = files.where("kind = 'text'").select("path", "kind", strip(F.make_valid_utf8(F.col("content").cast("string"))).alias("file_text"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
