@@ -86,7 +86,8 @@ def plain_form(text: str, genuine: set[str] | None = None) -> str:
     """Half-width, composed, with ordinary blanks and dashes, no invisible characters and no look-alikes; otherwise unchanged."""
     if text.isascii():
         return text
-    return plain_letters(settled(text), genuine)
+    # a mark on a replaced letter composes with the letter it now stands on
+    return unicodedata.normalize("NFC", plain_letters(settled(text), genuine))
 
 
 def fold(text: str) -> str:
