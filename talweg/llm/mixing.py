@@ -69,7 +69,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: i
         whole = sum(weights)
         if whole <= 0:
             continue
-        size = total_tokens or int(min(limit / (w / whole) for limit, w in zip(limits, weights, strict=True) if w > 0))
+        size = min(total_tokens, sum(limits)) if total_tokens else int(min(limit / (w / whole) for limit, w in zip(limits, weights, strict=True) if w > 0))
         block = max(1.0, size / BLOCKS)
         # a cap is a whole number of blocks; the tolerance keeps a source at its exact limit from losing its last block to rounding
         seats = sainte_lague(round(size / block), weights, [int(limit / block + 1e-6) for limit in limits])
