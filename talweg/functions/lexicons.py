@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talweg.functions.text import HAN, strip
+from talweg.functions.vectors import bound
 
 # Canonical skills and the spellings that stand for them, in the order they are tried.
 SKILL_ALIASES: dict[str, tuple[str, ...]] = {
@@ -52,11 +53,14 @@ def alias_pairs(lexicon: Mapping[str, Sequence[str]] = SKILL_ALIASES) -> list[tu
 def canonical_skill(phrase: Column, lexicon: Mapping[str, Sequence[str]] = SKILL_ALIASES) -> Column:
     """Exact spelling, else the first spelling of two or more characters that is part of the phrase; null if none is."""
     pairs = alias_pairs(lexicon)
-    low = F.lower(strip(phrase))
     exact = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in pairs if len(a) >= 2])
-    within = F.filter(table, lambda p: low.contains(p["a"]))
-    return F.when(low != "", F.coalesce(F.try_element_at(exact, low), F.try_element_at(within, F.lit(1))["c"]))
+
+    def found(low: Column) -> Column:
+        within = F.filter(table, lambda p: low.contains(p["a"]))
+        return F.when(low != "", F.coalesce(F.try_element_at(exact, low), F.try_element_at(within, F.lit(1))["c"]))
+
+    return bound(F.lower(strip(phrase)), found)
 
 
 def _ordered(terms: Column, final) -> Column:
@@ -74,7 +78,7 @@ def offered_terms(terms: Column, lexicon: Mapping[str, Sequence[str]] = SKILL_AL
     def token(t: Column) -> Column:
         return F.when(t.rlike(f"[{HAN}]"), F.substring(t, 1, 24)).otherwise(F.lower(t))
 
-    return _ordered(terms, lambda t: F.coalesce(canonical_skill(token(t), lexicon), token(t)))
+    return _ordered(terms, lambda t: bound(token(t), lambda own: F.coalesce(canonical_skill(own, lexicon), own)))
 
 
 def labels_by_keyword(text: Column, labels: Mapping[str, Sequence[str]]) -> Column:

@@ -130,24 +130,24 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float) -> DataFram
     def ordered(side: DataFrame) -> DataFrame:
         counted = side.select("id", "kind", F.explode("tokens").alias("t")).join(rarity, ["kind", "t"])
         sets = counted.groupBy("id", "kind").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-        return sets.select("id", "kind", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n"))
+        return cut(sets.select("id", "kind", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n")))
 
     def prefixes(side: DataFrame) -> DataFrame:
         keep = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1
-        return side.select("id", "kind", "s", "n", F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("p", "t"))
+        return side.select("id", "kind", "n", F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("p", "t"))
 
-    a = prefixes(ordered(left)).alias("a")
-    b = prefixes(ordered(right)).alias("b")
+    mine, theirs = ordered(left), ordered(right)
+    a, b = prefixes(mine).alias("a"), prefixes(theirs).alias("b")
     needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)))
     met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.t") == F.col("b.t"))).where(
         (F.col("a.n") >= F.col("b.n") * F.lit(least)) & (F.col("b.n") >= F.col("a.n") * F.lit(least))
         & (1 + F.least(F.col("a.n") - F.col("a.p") - 1, F.col("b.n") - F.col("b.p") - 1) >= needed - F.least("a.p", "b.p"))
     )
-    pairs = met.groupBy(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).agg(
-        F.first("a.s").alias("s"), F.first("b.s").alias("z")
-    )
-    common = F.size(F.array_intersect("s", "z"))
-    return pairs.select("left_id", "right_id", (common / (F.size("s") + F.size("z") - common)).alias("jaccard")).where(F.col("jaccard") >= least)
+    # Only ids go through the distinct; the sets are fetched for the pairs that are left.
+    pairs = met.select(F.col("a.kind").alias("kind"), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    whole = pairs.join(mine.select("kind", F.col("id").alias("left_id"), "s"), ["kind", "left_id"]).join(theirs.select("kind", F.col("id").alias("right_id"), F.col("s").alias("z")), ["kind", "right_id"])
+    compared = whole.select("left_id", "right_id", F.size(F.array_intersect("s", "z")).alias("common"), (F.size("s") + F.size("z")).alias("both"))
+    return compared.select("left_id", "right_id", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def map_values(

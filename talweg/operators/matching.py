@@ -10,6 +10,7 @@ from talweg.functions.lexicons import offered_terms, required_terms
 from talweg.functions.text import blank, degree_rank, strip, tokens
 from talweg.functions.vectors import band_score, cosine, hash_embedding, rounded
 from talweg.operators.retrieval import bm25, delivery, fuse, weighted_sum
+from talweg.session import spread
 
 
 def required_degree(own: Column, structured: Column) -> Column:
@@ -59,7 +60,7 @@ def skill_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> Da
 def embed_chunks(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Chunks with tokens and a hash vector; each distinct text is embedded once."""
     texts = chunks.select("content_hash", F.substring("chunk_text", 1, 2000).alias("semantic_text")).dropDuplicates(["content_hash"])
-    ready = texts.withColumn("tokens", tokens(F.col("semantic_text"))).withColumn("vector", hash_embedding(F.col("semantic_text"), settings.embedding_dim))
+    ready = spread(texts).withColumn("tokens", tokens(F.col("semantic_text"))).withColumn("vector", hash_embedding(F.col("semantic_text"), settings.embedding_dim))
     return chunks.join(ready, "content_hash")
 
 

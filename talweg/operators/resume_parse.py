@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions.lexicons import labels_by_keyword, offered_terms, tier
 from talweg.functions.text import blank, strip, time_key, year_month
+from talweg.session import spread
 
 # Titles of the sections and of the parts of the last one.
 SECTION_TITLES: tuple[tuple[str, str | None, str], ...] = (
@@ -225,7 +226,7 @@ def parse_documents(df: DataFrame, key: str, text: str) -> DataFrame:
                 "preview": [(t or "")[:800] for t in b[text]],
             })
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, layer1 {LAYER1}, warnings array<string>, parse_status string, preview string")
+    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {kind}, layer1 {LAYER1}, warnings array<string>, parse_status string, preview string")
 
 
 def latest_first(entries: Column) -> Column:

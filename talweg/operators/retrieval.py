@@ -22,19 +22,21 @@ def bm25(queries: DataFrame, corpus: DataFrame, settings: Settings = Settings(),
 
     ``queries``: group, j, tokens; ``corpus``: group, d, tokens. The corpus of a group is its own chunks. A query term counts as
     often as it occurs in the query; a query without terms scores 0 everywhere; scores are rounded to 10 digits, so that
-    ties do not hang on the order of summation. Only (query, chunk) pairs that share a term are computed; the others are
-    filled in as 0.
+    ties do not hang on the order of summation. Terms of the corpus that no query of the group asks for never leave their
+    row: a row meets the asked terms of its group, and only hits are shuffled. Pairs without a common term are filled in as 0.
     """
     k1, b = settings.bm25_k1, settings.bm25_b
-    by_group = Window.partitionBy(group)
-    sizes = corpus.select(group, "d", F.size("tokens").alias("dl")).withColumn("n", F.count("*").over(by_group)).withColumn("avgdl", F.avg("dl").over(by_group))
-    tf = corpus.select(group, "d", F.explode("tokens").alias("term")).groupBy(group, "d", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
+    sizes = corpus.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    asked = queries.groupBy(group).agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("asked"))
+    counted = F.transform("asked", lambda q: F.struct(q.alias("term"), F.size(F.filter("tokens", lambda t: t == q)).alias("tf")))
+    met = corpus.join(asked, group).select(group, "d", F.size("tokens").alias("dl"), F.explode(F.filter(counted, lambda c: c["tf"] > 0)).alias("hit"))
+    hits = met.select(group, "d", "dl", "hit.term", "hit.tf")
+    df = hits.groupBy(group, "term").agg(F.count("*").alias("df")).join(sizes, group)
     qtf = queries.select(group, "j", F.explode("tokens").alias("term")).groupBy(group, "j", "term").agg(F.count("*").alias("qtf"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     length = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     weight = F.col("qtf") * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / length))
-    scored = qtf.join(tf, [group, "term"]).join(df, [group, "term"]).join(sizes, [group, "d"]).groupBy(group, "j", "d").agg(F.round(F.sum(weight), DIGITS).alias("bm25"))
+    scored = qtf.join(df, [group, "term"]).join(hits, [group, "term"]).groupBy(group, "j", "d").agg(F.round(F.sum(weight), DIGITS).alias("bm25"))
     grid = queries.select(group, "j").join(corpus.select(group, "d"), group)
     return grid.join(scored, [group, "j", "d"], "left").fillna(0.0, ["bm25"])
 

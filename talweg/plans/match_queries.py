@@ -11,7 +11,7 @@ from talweg.functions.vectors import band_score, cosine, experience_score, hash_
 from talweg.operators.chunks import candidate_chunks, embedding_plan, job_chunks
 from talweg.operators.matching import degree_gate, delivery_pairs, embed_chunks, semantic_scores, skill_scores
 from talweg.operators.retrieval import best_per_query, bm25, delivery
-from talweg.session import cut, table
+from talweg.session import cut, spread, table
 
 DIGITS = 8
 
@@ -39,13 +39,13 @@ def year_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", x.tokens(F.col("text")).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", x.tokens(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a job against its title."""
-    corpus = table(spark, sf_dir, "documents").where("job_id is not null").select(F.col("job_id").alias("group_id"), F.col("doc_id").alias("d"), x.tokens(F.col("text")).alias("tokens"))
+    corpus = spread(table(spark, sf_dir, "documents").where("job_id is not null")).select(F.col("job_id").alias("group_id"), F.col("doc_id").alias("d"), x.tokens(F.col("text")).alias("tokens"))
     queries = _once(spark, sf_dir, "jobs").select(F.col("id").alias("group_id"), F.lit(0).alias("j"), x.tokens(F.col("title")).alias("tokens"))
     scored = bm25(queries, corpus)
     return scored.select("group_id", "d", F.round("bm25", DIGITS).alias("bm25"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tal
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers of this session, once, so that they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_talweg_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="talweg-code-")) / "talweg.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._talweg_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,6 +54,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
+
+    Input of many files or row groups is left as it is; only where a table comes in fewer pieces (one small file) its rows are dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes ``df`` as a compressed table into the shared folder, where a lost executor cannot take it along, and reads that."""
     spark = df.sparkSession
