@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.charfold import plain_form
-from talweg.session import cut
+from talweg.session import cut, spread
 
 LEAST_SHARE = 0.04
 LEAST_TERMS = 3
@@ -180,7 +180,7 @@ def find_personal_data(texts: DataFrame, names: DataFrame, least_share: float =
             yield pd.DataFrame(rows, columns=columns)
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["pii_type string, start_at int, end_at int, term string, left_cue string, right_cue string, sure boolean"])
-    spans = cut(texts.where("raw_text is not null and raw_text <> ''").mapInPandas(scan, schema))
+    spans = cut(spread(texts.where("raw_text is not null and raw_text <> ''")).mapInPandas(scan, schema))
     shaped = spans.where("sure and pii_type <> 'name'")
     own = spans.where("pii_type = 'name' and left_cue is null")
     terms = spans.where("pii_type = 'name' and left_cue is not null")

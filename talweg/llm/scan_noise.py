@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.session import cut
+from talweg.session import cut, spread
 
 # What a scan reads, and what stood there.
 LATIN_CONFUSIONS = (
@@ -132,7 +132,7 @@ def text_facts(texts: DataFrame) -> DataFrame:
             yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(facts, columns=["words", "numbers", "shapes", "twice", "hyphens", "has_page"])], axis=1)
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys]) + ", " + FACTS
-    return texts.where("raw_text is not null and raw_text <> ''").mapInPandas(run, schema)
+    return spread(texts.where("raw_text is not null and raw_text <> ''")).mapInPandas(run, schema)
 
 
 def anagram_hash(word: Column) -> Column:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.session import cut
+from talweg.session import cut, spread
 
 SPAN = 200
 #: (longest active symbol, whether runs are replaced too) of each round.
@@ -204,7 +204,7 @@ def shared_spans(documents: DataFrame, least: int = SPAN) -> DataFrame:
     if least < SPAN:
         raise ValueError(f"spans under {SPAN} characters may have no anchor")
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text") >= least)
-    found = cut(docs.mapInPandas(_anchor_batches, "key bigint, doc_id bigint, start_at int, width int"))
+    found = cut(spread(docs).mapInPandas(_anchor_batches, "key bigint, doc_id bigint, start_at int, width int"))
     groups = found.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key", "n")
     shared = found.join(groups, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start_at", "width", "n")).alias("places"))
 

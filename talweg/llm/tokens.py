@@ -12,6 +12,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talweg.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this family divide a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,7 +67,7 @@ def token_counts(documents: DataFrame, keys: list[str], text: str = "text", voca
             out["n_tokens"] = [0 if not t else len(enc.encode_ordinary(t)) for t in b[text]]
             yield out
 
-    return documents.select(*keys, text).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_tokens bigint")
+    return spread(documents.select(*keys, text)).mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_tokens bigint")
 
 
 def token_pieces(documents: DataFrame, capacities: list[int], vocabulary: str = VOCABULARY) -> DataFrame:
@@ -83,4 +85,4 @@ def token_pieces(documents: DataFrame, capacities: list[int], vocabulary: str =
             yield pd.DataFrame(rows, columns=["doc_id", "capacity", "piece_no", "n_pieces", "n_tokens", "char_from", "char_to"])
 
     schema = f"doc_id {dict(documents.dtypes)['doc_id']}, capacity int, piece_no int, n_pieces int, n_tokens int, char_from int, char_to int"
-    return documents.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, schema)
+    return spread(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())).mapInPandas(run, schema)
