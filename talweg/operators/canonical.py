@@ -151,12 +151,12 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float) -> DataFram
 
 
 def map_values(
-    values: DataFrame, entries: DataFrame, least: float = 0.45, sure: float = 0.8, vocabularies: dict[str, Vocabulary] | None = None
+    values: DataFrame, entries: DataFrame, least: float = 0.45, sure: float = 0.95, vocabularies: dict[str, Vocabulary] | None = None
 ) -> DataFrame:
     """The entry meant by each distinct (kind, value): columns kind, value, ref_id (0: the list has none), jaccard, compare_key.
 
     ``entries``: ref_id, ref_kind, label_text, alt_labels. A pair under ``sure`` counts only if the edit distance of the two
-    keys confirms it (one edit, two from nine characters, three from 18, four from 27); keys of up to ``exact_up_to`` characters must be equal. Ties
+    keys confirms it (one edit, two from nine characters, or two letters in the wrong order); keys of up to ``exact_up_to`` characters must be equal. Ties
     go to the higher similarity, the smaller distance, then the smaller ref_id. Null and blank values give no row; very
     long values are compared whole; repeated values count once; an empty list gives 0 for every value.
     """
@@ -185,7 +185,7 @@ def map_values(
         F.element_at(F.split("left_id", "\u0001"), 1).alias("kind"), F.element_at(F.split("left_id", "\u0001"), 2).alias("compare_key"),
         F.element_at(F.split("right_id", "\u0001"), 1).cast("int").alias("ref_id"), F.element_at(F.split("right_id", "\u0001"), 2).alias("ref_key"), "jaccard",
     ).withColumn("edits", F.levenshtein(k, F.col("ref_key")))
-    allowed = F.greatest(F.lit(1), F.floor(F.length(k) / 9) + 1)
+    allowed = F.when(F.length(k) < 9, 1).otherwise(2)
     swapped = (F.col("edits") == 2) & (F.array_sort(F.split(k, "")) == F.array_sort(F.split(F.col("ref_key"), "")))
     near = near.where((F.col("jaccard") >= sure) | (F.col("edits") <= allowed) | swapped)
     by = Window.partitionBy("kind", "compare_key").orderBy(F.desc("jaccard"), F.asc("edits"), F.asc("ref_id"))
