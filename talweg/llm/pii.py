@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.functions.charfold import plain_form
+from talweg.functions.text import tokens
 from talweg.session import cut, spread
 
 LEAST_SHARE = 0.04
@@ -59,6 +60,7 @@ ADDRESS = re.compile(
 _WORD = r"\p{Lu}[\p{L}\p{M}]*\p{Ll}[\p{L}\p{M}]*"
 # Forms of address; with a family name they are a name.
 TITLED = regex.compile(rf"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Sr)\.?\s({_WORD})")
+_TERM = re.compile(r"[A-Za-z][A-Za-z0-9.+#_-]*|[0-9][A-Za-z0-9.+#_-]*")
 LATIN_NAME = regex.compile(rf"(?=(?<![\w@.\-])({_WORD})(\s+\p{{Lu}}\.)?\s+({_WORD})(?![\w@]))")
 
 
@@ -212,10 +214,44 @@ def find_personal_data(texts: DataFrame, names: DataFrame, least_share: float =
     return out
 
 
-def redact(texts: DataFrame, names: DataFrame, **how) -> DataFrame:
-    """``texts`` with ``clean_text``: every found span replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME]; the rest as it was."""
+def revealing_terms(texts: DataFrame, entity: str, least_bits: float, least_texts: int = 2) -> DataFrame:
+    """Terms that disclose which entity a text is about: entity, term, bits.
+
+    A term of n out of N entities discloses log2(N / n) bits. Words of letters and numbers of four or more digits count, in texts
+    of one entity at least ``least_texts`` times apart, so that a word seen once by chance does not.
+    """
+    words = F.array_distinct(F.filter(tokens(F.col("raw_text")), lambda t: t.rlike("^[a-z][a-z0-9.+#_-]{2,}$|^[0-9]{4,}$")))
+    rows = texts.where(F.col(entity).isNotNull()).select(F.col(entity), F.explode(words).alias("term"))
+    counted = rows.groupBy(entity, "term").agg(F.count("*").alias("n_texts"))
+    spread_over = counted.groupBy("term").agg(F.count("*").alias("n_entities"))
+    everyone = texts.agg(F.countDistinct(entity).alias("n_all"))
+    known = counted.where(F.col("n_texts") >= least_texts).join(spread_over, "term").crossJoin(F.broadcast(everyone))  # one row
+    bits = F.log2(F.col("n_all") / F.col("n_entities"))
+    return known.select(entity, "term", bits.alias("bits")).where(F.col("bits") >= least_bits)
+
+
+def redact(texts: DataFrame, names: DataFrame, entity: str | None = None, least_bits: float | None = None, **how) -> DataFrame:
+    """``texts`` with ``clean_text``: every found span replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME]; the rest as it was.
+
+    With ``entity`` and ``least_bits`` terms that disclose the entity by as many bits are generalised to [TERM] too. Null texts stay
+    null; repeated rows come back as often as they came.
+    """
     keys = [c for c in texts.columns if c not in ("raw_text", "own_name")]
-    spans = find_personal_data(texts, names, **how)
+    spans = find_personal_data(texts, names, **how).select(*keys, "start_at", "end_at", "pii_type")
+    if entity is not None and least_bits is not None:
+        mine = revealing_terms(texts, entity, least_bits).groupBy(entity).agg(F.collect_set("term").alias("terms"))
+        types = dict(texts.dtypes)
+
+        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for row in b[[*keys, "raw_text", "terms"]].itertuples(index=False, name=None):
+                    wanted = set(row[-1])
+                    rows += [(*row[:-2], m.start(), m.end(), "term") for m in _TERM.finditer(row[-2] or "") if m[0].lower() in wanted]
+                yield pd.DataFrame(rows, columns=[*keys, "start_at", "end_at", "pii_type"])
+
+        schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["start_at int, end_at int, pii_type string"])
+        spans = spans.unionByName(texts.join(mine, entity).mapInPandas(mark, schema))
     gathered = spans.groupBy(*keys).agg(F.collect_set(F.struct("start_at", "end_at", "pii_type")).alias("spans"))
 
     @F.pandas_udf("string")
@@ -228,9 +264,10 @@ def redact(texts: DataFrame, names: DataFrame, **how) -> DataFrame:
 def _replaced(text: str | None, spans) -> str | None:
     if text is None or spans is None:
         return text
-    order = sorted(((s["start_at"], -s["end_at"], s["pii_type"]) for s in spans))
+    # a personal span stands before a mere term at the same place
+    order = sorted((s["start_at"], s["pii_type"] == "term", -s["end_at"], s["pii_type"]) for s in spans)
     out, done = [], 0
-    for a, b, kind in order:
+    for a, _, b, kind in order:
         if a >= done:
             out += [text[done:a], f"[{kind.upper()}]"]
             done = -b

@@ -45,6 +45,8 @@ PAGE_NO = re.compile(
     r"|页码\s*[:：]?\s*\d{1,3}|(?:page|pg|p)\.?\s*\d{1,3}(?:\s*(?:of|/)\s*\d{1,3})?|\d{1,3}\s+of\s+\d{1,3})\s*$", re.IGNORECASE
 )
 BULLET = re.compile(r"^\s*(?:[•·*▪●\-–]\s|\d{1,2}[.)、]\s?(?!\d))")
+# Lines that stand for themselves: dates and labels at their start, columns, links.
+_STRUCTURAL = re.compile(r"^\s*(?:\d{4}[./\-]\d{1,2}\s*[-–—]|[^\W\d_]{1,12}(?: [^\W\d_]{1,12})?\s?[:：])|\s\|\s|://|\S\s{2,}\S")
 _LATIN = re.compile(r"[A-Za-z][A-Za-z]*(?:[0-9][A-Za-z]+)+|[0-9][A-Za-z]{3,}|[A-Za-z]{3,}[0-9]?(?![0-9])|[A-Za-z]{2,}")
 _NUMBER = re.compile(r"(?<![A-Za-z0-9._@/+\-])(?=[0-9lO]*[lO])(?=[lO]*[0-9]|[lO]{1,4}(?=[㐀-鿿%]))[0-9lO]{1,12}(?![A-Za-z0-9_@/]|\.\w|-\w)")
 _COMPOUND = re.compile(r"[A-Za-z]+-[A-Za-z]+")
@@ -222,7 +224,7 @@ def repaired(text: str | None, own: str, fixes: dict[str, tuple[str, str, str]],
             if end and start:
                 out[-1] = before.rstrip() + line.lstrip()
                 continue
-            wrapped = widths[i - 1] >= 0.72 * full and not BULLET.match(line) and before.strip() and line.strip() and before.rstrip()[-1] not in "。.!！?？:："
+            wrapped = widths[i - 1] >= 0.72 * full and not BULLET.match(line) and not _STRUCTURAL.search(line) and not _STRUCTURAL.search(lines[i - 1]) and before.strip() and line.strip() and before.rstrip()[-1] not in "。.!！?？:："
             if wrapped or (line.strip() and line.strip()[0] in "。，；、！？"):
                 out[-1] = before + ("" if before[-1] > "⺀" or line[0] > "⺀" else " ") + line
                 continue

@@ -1,6 +1,6 @@
 import pytest
 
-from talweg.llm.pii import find_personal_data, joined, redact, shaped_spans
+from talweg.llm.pii import find_personal_data, joined, redact, revealing_terms, shaped_spans
 
 SHAPES = [
     ("mail a.b@inbox.test / (415) 555 0114", {"email", "phone"}), ("x+jobs (at) inbox.test", {"email"}), ("y[at]post[dot]orrow[dot]example", {"email"}), ("z at inbox dot test", {"email"}), ("q＠mailnest.example", {"email"}),
@@ -43,3 +43,13 @@ def test_names_and_redaction(spark):
     assert clean["3"] == "[NAME] 的简历\n建课程知识库" and clean["6"] is None and clean["7"] == ""
     assert find_personal_data(texts.limit(0), names).count() == 0
     assert {r["rec"] for r in find_personal_data(texts, names.limit(0)).collect()} >= {"3"}
+
+
+def test_revealing_terms(spark):
+    rows = [(f"r{i}", k, "common words about kafka", None) for i in range(8) for k in (0, 1)] + [("r1", 2, "project Zyxquill for kafka 20231", None), ("r1", 3, "Zyxquill again, a.b@c.test", None), ("r2", 2, "Onceword", None), (None, 9, "x", None), ("r3", 5, None, None)]
+    texts = spark.createDataFrame(rows, "rec string, part int, raw_text string, own_name string")
+    names = spark.createDataFrame([], "name string")
+    got = {(r["rec"], r["term"]): r["bits"] for r in revealing_terms(texts, "rec", 2.5).collect()}
+    assert got == {("r1", "zyxquill"): 3.0}
+    clean = {(r["rec"], r["part"]): r["clean_text"] for r in redact(texts, names, entity="rec", least_bits=2.5).collect()}
+    assert clean["r1", 2] == "project [TERM] for kafka 20231" and clean["r1", 3] == "[TERM] again, [EMAIL]" and clean["r3", 5] is None and clean["r0", 0] == rows[0][2]
