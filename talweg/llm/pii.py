@@ -12,6 +12,7 @@ never more of them than characters, so they alone travel to every task. Terms me
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,10 +50,12 @@ PHONE = re.compile(
     r"|0\d{2,3}-\d{7,8})(?![A-Za-z0-9_\-]|\.\d)"
 )
 _HAN = r"[㐀-鿿]"
-ADDRESS = re.compile(
+ADDRESS_HAN = re.compile(
     rf"(?:{_HAN}{{1,6}}?[市县])?(?:{_HAN}{{1,4}}?区)?{_HAN}{{1,4}}?(?:路|街|大道|巷|弄|胡同)\n?\d+\n?(?:号|弄)(?:\n?\d+\n?(?:号|弄|栋|幢|座|单元|室))*"
     rf"|(?:{_HAN}{{1,6}}?[市县])?{_HAN}{{1,6}}?(?:小区|公寓|花园|新村)\n?\d+\n?(?:单元|栋|幢|号)(?:\n?\d+[室号]?)?"
-    r"|\bFlat\s\d+[A-Za-z]?,\s\d+\s[A-ZÀ-Ž][\w'’\-]+\s(?:Court|House|Road|Street|Lane)"
+)
+ADDRESS_LATIN = re.compile(
+    r"\bFlat\s\d+[A-Za-z]?,\s\d+\s[A-ZÀ-Ž][\w'’\-]+\s(?:Court|House|Road|Street|Lane)"
     r"|\b\d{1,5}[A-Za-z]?\s(?:[A-ZÀ-Ž][\w'’\-]+\s){1,3}(?:St\.?|Rd\.?|Ave\.?|Ln\.?|Blvd\.?|Street|Road|Avenue|Lane|Court|Crescent|Drive|Boulevard|Square|Terrace|Way)(?![\w])(?:,\s(?:Apt|Unit|Suite|Flat)\.?\s\w+)?(?:,\s[A-ZÀ-Ž][\w\-]+)?"
     r"|\b(?:rue|avenue|boulevard|place|calle|via)\s[A-ZÀ-Ž][\w'’\-]+\s\d{1,4}\b(?:,\s[A-ZÀ-Ž][\w\-]+)?"
     r"|\b[A-ZÀ-Ž][\w\-]*(?:stra(?:ss|ß)e|gasse|weg|platz)\s\d{1,4}\b(?:,\s\d{5}\s[A-ZÀ-Ž][\w\-]+)?"
@@ -64,32 +67,38 @@ _TERM = re.compile(r"[A-Za-z][A-Za-z0-9.+#_-]*|[0-9][A-Za-z0-9.+#_-]*")
 LATIN_NAME = regex.compile(rf"(?=(?<![\w@.\-])({_WORD})(\s+\p{{Lu}}\.)?\s+({_WORD})(?![\w@]))")
 
 
-def joined(text: str) -> tuple[str, list[int]]:
-    """The text with line ends between ideographs closed up and others as blanks, and each place's position in ``text``."""
-    if "\n" not in text:
-        return text, list(range(len(text) + 1))
-    out, at = [], []
-    for i, c in enumerate(text):
-        if c in "\r\n":
-            before, after = text[i - 1 : i], text[i + 1 : i + 2]
-            if c == "\n" and before > "⺀" and after > "⺀":
-                continue
-            c = "\n"
-        out.append(c)
-        at.append(i)
-    return "".join(out), [*at, len(text)]
+# What a text must hold for the costlier patterns to be tried at all.
+_MAY_MAIL = re.compile(r"[@＠]|[\[({]at[\])}]| at ", re.IGNORECASE)
+_MAY_LIVE_HAN = re.compile(r"(?:路|街|大道|巷|弄|胡同|小区|公寓|花园|新村)\n?\d")
+_MAY_LIVE_LATIN = re.compile(r"\d[\w]*,? |[a-z] \d")
+_WRAPPED = re.compile(r"(?<=[⺀-\U0010ffff])\n(?=[⺀-\U0010ffff])")
+
+
+class Flat:
+    """A text with the line ends between ideographs closed up; ``at`` gives the place in the text of a place in ``flat``."""
+
+    def __init__(self, text: str) -> None:
+        gone = [m.start() for m in _WRAPPED.finditer(text)] if "\n" in text else []
+        self.flat = _WRAPPED.sub("", text) if gone else text
+        self._before = [p - k for k, p in enumerate(gone)]
+
+    def at(self, place: int) -> int:
+        return place + bisect_right(self._before, place)
 
 
-def shaped_spans(text: str) -> list[tuple[str, int, int]]:
+def shaped_spans(text: str, whole: Flat | None = None) -> list[tuple[str, int, int]]:
     """(type, start, end) of e-mail addresses, phone and identity numbers and street addresses in ``text``."""
-    flat, at = joined(text)
+    whole = whole or Flat(text)
+    flat = whole.flat
     found: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    for kind, pattern in (("email", EMAIL), ("id_number", ID_NUMBER), ("phone", PHONE), ("address", ADDRESS)):
+    for kind, pattern, hint in (("email", EMAIL, _MAY_MAIL), ("id_number", ID_NUMBER, None), ("phone", PHONE, None), ("address", ADDRESS_HAN, _MAY_LIVE_HAN), ("address", ADDRESS_LATIN, _MAY_LIVE_LATIN)):
+        if hint is not None and not hint.search(flat):
+            continue
         for m in pattern.finditer(flat):
             a, b = m.start(), m.end()
             if not free(a, b):
@@ -99,25 +108,26 @@ def shaped_spans(text: str) -> list[tuple[str, int, int]]:
             if kind in ("id_number", "phone") and ("://" in flat[max(0, a - 60) : a].rpartition(" ")[2] or "\n" in m[0]):
                 continue
             taken.append((a, b))
-            found.append((kind, at[a], at[b - 1] + 1))
+            found.append((kind, whole.at(a), whole.at(b - 1) + 1))
     return found
 
 
-def name_terms(text: str, han_name: re.Pattern | None) -> list[tuple[str, int, int, str, str]]:
+def name_terms(text: str, han_name: re.Pattern | None, whole: Flat | None = None) -> list[tuple[str, int, int, str, str]]:
     """(term, start, end, left cue, right cue) of every name-like term."""
-    flat, at = joined(text)
+    whole = whole or Flat(text)
+    flat = whole.flat
     out = []
     if han_name is not None:
         for m in han_name.finditer(flat):
             a, b = m.start(1), m.end(1)
-            left = text[max(0, at[a] - 2) : at[a]].rpartition("\n")[2]
-            right = text[at[b - 1] + 1 : at[b - 1] + 2]
-            out.append((m[1], at[a], at[b - 1] + 1, left or "^", "$" if right in ("", "\n") else right))
+            x, y = whole.at(a), whole.at(b - 1) + 1
+            left, right = text[max(0, x - 2) : x].rpartition("\n")[2], text[y : y + 1]
+            out.append((m[1], x, y, left or "^", "$" if right in ("", "\n") else right))
     for m in LATIN_NAME.finditer(flat):
         a, b = m.start(1), m.end(3)
         left = re.split(r"[\s]", flat[max(0, a - 24) : a].strip(" ").rpartition("\n")[2])[-1].casefold()
         right = flat[b : b + 1]
-        out.append((f"{m[1]} {m[3]}", at[a], at[b - 1] + 1, left or "^", "$" if right in ("", "\n") else right))
+        out.append((f"{m[1]} {m[3]}", whole.at(a), whole.at(b - 1) + 1, left or "^", "$" if right in ("", "\n") else right))
     return out
 
 
@@ -165,16 +175,20 @@ def find_personal_data(texts: DataFrame, names: DataFrame, least_share: float =
             rows = []
             for row in b[[*keys, "raw_text", "own_name"]].itertuples(index=False, name=None):
                 text, own, key = row[-2], row[-1], row[:-2]
-                spans = shaped_spans(text)
+                whole = Flat(text)
+                spans = shaped_spans(text, whole)
                 rows += [(*key, kind, x, y, None, None, None, True) for kind, x, y in spans]
                 own = " ".join(plain_form(own).split()) if own else ""
                 if len(own) > 1:
-                    for m in re.finditer(re.escape(own).replace(r"\ ", r"\s+"), text):
-                        rows.append((*key, "name", m.start(), m.end(), own, None, None, True))
-                        spans.append(("name", m.start(), m.end()))
+                    line = text.replace("\n", " ")
+                    x = line.find(own)
+                    while x >= 0:
+                        rows.append((*key, "name", x, x + len(own), own, None, None, True))
+                        spans.append(("name", x, x + len(own)))
+                        x = line.find(own, x + len(own))
                 for m in TITLED.finditer(text):
                     rows.append((*key, "name", m.start(1), m.end(1), m[1], None, None, True))
-                for term, x, y, left, right in name_terms(text, han):
+                for term, x, y, left, right in name_terms(text, han, whole):
                     if any(x < q and y > p for _, p, q in spans):
                         continue
                     before = text[max(0, x - 14) : x].casefold().rstrip(" ")

@@ -1,6 +1,6 @@
 import pytest
 
-from talweg.llm.pii import find_personal_data, joined, redact, revealing_terms, shaped_spans
+from talweg.llm.pii import Flat, find_personal_data, redact, revealing_terms, shaped_spans
 
 SHAPES = [
     ("mail a.b@inbox.test / (415) 555 0114", {"email", "phone"}), ("x+jobs (at) inbox.test", {"email"}), ("y[at]post[dot]orrow[dot]example", {"email"}), ("z at inbox dot test", {"email"}), ("q＠mailnest.example", {"email"}),
@@ -21,7 +21,9 @@ def test_shapes(text, kinds):
 def test_places_across_line_ends():
     text = "办公地点在临栾市柳墩\n街133弄14号 end"
     (kind, a, b), = shaped_spans(text)
-    assert kind == "address" and text[a:b].endswith("14号") and joined("a\nb")[0] == "a\nb"
+    assert kind == "address" and text[a:b].endswith("14号") and Flat("a\nb").flat == "a\nb"
+    flat = Flat("一\n二三\nx\n四\n五")
+    assert flat.flat == "一二三\nx\n四五" and [flat.at(i) for i in range(9)] == [0, 2, 3, 4, 5, 6, 7, 9, 10]
 
 
 TEXTS = [
