@@ -158,7 +158,7 @@ def corrections(counts: DataFrame, confusions: tuple[tuple[str, str], ...]) -> D
     return ranked.select("word", "best.variant", "best.seen", "best.meant")
 
 
-def _bounded(small: DataFrame, most: int = 200_000) -> DataFrame:
+def _bounded(small: DataFrame, most: int = 50_000) -> DataFrame:
     """Broadcast behind a check of the size; beyond it the planner joins by shuffle."""
     return F.broadcast(small) if small.count() <= most else small
 
