@@ -12,6 +12,12 @@ def _null_if_zero(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
+def _bucket(log: DataFrame, at: str, unit: str) -> Column:
+    """Start of the hour or day, of the same type as the time itself: one without zone stays without, whatever the session's zone."""
+    start = F.date_trunc(unit, at)
+    return (start.cast("timestamp_ntz") if dict(log.dtypes)[at] == "timestamp_ntz" else start).alias("bucket")
+
+
 def evaluation_statistics(log: DataFrame, metrics: Sequence[str], status: str = "status", duration: str = "duration_ms") -> DataFrame:
     """Counts of completed, pending and failed rows; avg, min and max of each metric and the average duration of completed ones.
 
@@ -27,7 +33,7 @@ def evaluation_statistics(log: DataFrame, metrics: Sequence[str], status: str =
 
 def trends(log: DataFrame, at: str, metrics: Sequence[str], granularity: str = "day") -> DataFrame:
     """Per hour or day (anything else is a day): count and average of each metric, in time order."""
-    bucket = F.date_trunc("hour" if granularity == "hour" else "day", at).alias("bucket")
+    bucket = _bucket(log, at, "hour" if granularity == "hour" else "day")
     return log.groupBy(bucket).agg(F.count("*").alias("row_count"), *[F.avg(m).alias(f"avg_{m}") for m in metrics]).orderBy("bucket")
 
 
@@ -40,7 +46,7 @@ def usage_summary(log: DataFrame, at: str, sums: Sequence[str], averages: Sequen
 
 
 def usage_by_time(log: DataFrame, at: str, sums: Sequence[str], granularity: str = "hour") -> DataFrame:
-    bucket = F.date_trunc("day" if granularity == "day" else "hour", at).alias("bucket")
+    bucket = _bucket(log, at, "day" if granularity == "day" else "hour")
     return log.groupBy(bucket).agg(F.count("*").alias("row_count"), *[F.sum(c).alias(f"sum_{c}") for c in sums]).orderBy("bucket")
 
 

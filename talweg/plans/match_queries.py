@@ -238,11 +238,12 @@ top_d AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n_chunks FROM per_d
 
 
 def _experience(s: str) -> str:
-    return f"CASE WHEN {s} <= 0 THEN 0 WHEN {s} >= 0.84 THEN 95 WHEN {s} >= 0.78 THEN 88 WHEN {s} >= 0.72 THEN 80 WHEN {s} >= 0.66 THEN 72 ELSE CAST(printf('%.1f', 38 + greatest(0.0, least(1.0, ({s} - CAST(0.38 AS DOUBLE)) / (CAST(0.66 AS DOUBLE) - CAST(0.38 AS DOUBLE)))) * 34) AS DOUBLE) END"
+    linear = f"CAST(printf('%.1f', 38 + greatest(0.0, least(1.0, ({s} - CAST(0.38 AS DOUBLE)) / (CAST(0.66 AS DOUBLE) - CAST(0.38 AS DOUBLE)))) * 34) AS DOUBLE)"
+    return f"CAST(CASE WHEN {s} <= 0 THEN 0 WHEN {s} >= 0.84 THEN 95 WHEN {s} >= 0.78 THEN 88 WHEN {s} >= 0.72 THEN 80 WHEN {s} >= 0.66 THEN 72 ELSE {linear} END AS DOUBLE)"
 
 
 def _band(s: str) -> str:
-    return f"CASE WHEN {s} <= 0 THEN 0.0 WHEN {s} >= 0.84 THEN 95.0 WHEN {s} >= 0.78 THEN 85.0 WHEN {s} >= 0.72 THEN 75.0 WHEN {s} >= 0.66 THEN 65.0 ELSE 55.0 END"
+    return f"CAST(CASE WHEN {s} <= 0 THEN 0 WHEN {s} >= 0.84 THEN 95 WHEN {s} >= 0.78 THEN 85 WHEN {s} >= 0.72 THEN 75 WHEN {s} >= 0.66 THEN 65 ELSE 55 END AS DOUBLE)"
 
 
 _DELIVERED = f"""{_WEIGHTS},
