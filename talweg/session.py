@@ -68,4 +68,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/talweg-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_cuts: list[str] = []
+
+
+def clear_cuts(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written so far; results that still read them must have been written before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
