@@ -75,7 +75,8 @@ def cuts(text: str, max_size: int, overlap: int) -> list[int]:
         at = out[-1]
         # The first piece has no overlap before it and may use the whole limit.
         most = at + (max_size if len(out) == 1 else reach)
-        lo = at + least
+        # nor may it end before there is a whole overlap for the second one
+        lo = at + (max(least, overlap) if len(out) == 1 else least)
         inside = candidates[np.searchsorted(candidates, lo) : np.searchsorted(candidates, most, "right")]
         good = [c for c in inside.tolist() if c in strong_set]
         cut_at = good[0] if good else None
