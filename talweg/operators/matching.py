@@ -9,6 +9,7 @@ from talweg.config import Settings
 from talweg.functions.lexicons import offered_terms, required_terms
 from talweg.functions.text import blank, degree_rank, strip, tokens
 from talweg.functions.vectors import band_score, cosine, hash_embedding, rounded
+from talweg.operators.chunks import SEMANTIC_CHARS
 from talweg.operators.retrieval import bm25, delivery, fuse, weighted_sum
 from talweg.session import spread
 
@@ -58,10 +59,13 @@ def skill_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> Da
 
 
 def embed_chunks(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Chunks with tokens and a hash vector; each distinct text is embedded once."""
-    texts = chunks.select("content_hash", F.substring("chunk_text", 1, 2000).alias("semantic_text")).dropDuplicates(["content_hash"])
-    ready = spread(texts).withColumn("tokens", tokens(F.col("semantic_text"))).withColumn("vector", hash_embedding(F.col("semantic_text"), settings.embedding_dim))
-    return chunks.join(ready, "content_hash")
+    """Chunks with tokens and a hash vector; each distinct text is embedded once.
+
+    The vector is that of the whole chunk; only the lexical side (tokens, snippets) reads its first ``SEMANTIC_CHARS`` characters.
+    """
+    texts = spread(chunks.select("content_hash", "chunk_text").dropDuplicates(["content_hash"]))
+    ready = texts.select("content_hash", F.substring("chunk_text", 1, SEMANTIC_CHARS).alias("semantic_text"), hash_embedding(F.col("chunk_text"), settings.embedding_dim).alias("vector"))
+    return chunks.join(ready.withColumn("tokens", tokens(F.col("semantic_text"))), "content_hash")
 
 
 def _order(kind: Column) -> Column:
