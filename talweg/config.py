@@ -24,6 +24,9 @@ class Settings:
     weight_skill: float = 0.20
     weight_delivery: float = 0.80
     weight_role: float = 0.0
+    overall_skill: float = 0.30
+    overall_semantic: float = 0.40
+    overall_quality: float = 0.30
     job_coverage: float = 0.62
     top_chunks: int = 3
     embedding_dim: int = 128

@@ -9,9 +9,9 @@ from talweg.config import Settings
 from talweg.functions.lexicons import offered_terms, required_terms
 from talweg.functions.text import blank, degree_rank, strip, tokens
 from talweg.functions.vectors import band_score, cosine, hash_embedding, rounded
-from talweg.operators.chunks import SEMANTIC_CHARS
+from talweg.operators.chunks import SEMANTIC_CHARS, candidate_chunks, job_chunks
 from talweg.operators.retrieval import bm25, delivery, fuse, weighted_sum
-from talweg.session import spread
+from talweg.session import cut, spread
 
 
 def required_degree(own: Column, structured: Column) -> Column:
@@ -118,3 +118,36 @@ def ranked(scores: DataFrame, by: str = "overall_score") -> DataFrame:
     """Rows with a competition rank within their job, best first, null last."""
     order = Window.partitionBy("job_id").orderBy(F.desc_nulls_last(by), F.asc("candidate_id"))
     return scores.withColumn("place", F.row_number().over(order))
+
+
+def newest(pairs: DataFrame, candidates: DataFrame, limit: int | None) -> DataFrame:
+    """``pairs`` of the ``limit`` candidates of each job that were changed last (then by id); all of them without a limit."""
+    if limit is None:
+        return pairs
+    order = Window.partitionBy("job_id").orderBy(F.desc("updated_at"), F.asc("candidate_id"))
+    dated = pairs.join(candidates.select(F.col("id").alias("candidate_id"), "updated_at"), "candidate_id")
+    return dated.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).select("job_id", "candidate_id")
+
+
+def score_sides(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Embedded chunks of the jobs and of the candidates that ``pairs`` name."""
+    asked = jobs.join(pairs.select(F.col("job_id").alias("id")).distinct(), "id", "left_semi")
+    people = candidates.join(pairs.select(F.col("candidate_id").alias("id")).distinct(), "id", "left_semi")
+    return cut(embed_chunks(job_chunks(asked, settings.chunk_chars), settings)), cut(embed_chunks(candidate_chunks(people), settings))
+
+
+def score_pool(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, resumes: DataFrame, quality: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """Every job's pool through the gate, the axes and their fusion, with its place within the job.
+
+    ``jobs`` and ``candidates`` have each id once; ``quality`` (candidate_id, quality_score) comes from a model and counts 0 where there is none.
+    Pairs that name no job or candidate of the tables, and those the gate rejects, have no row.
+    """
+    pool = newest(pairs, candidates, settings.pool_limit)
+    known = pool.join(jobs.select(F.col("id").alias("job_id")), "job_id", "left_semi").join(candidates.select(F.col("id").alias("candidate_id")), "candidate_id", "left_semi")
+    kept = cut(degree_gate(known, jobs, resumes).where("meets_requirement").select("job_id", "candidate_id"))
+    skills = skill_scores(kept, jobs, candidates).select("job_id", "candidate_id", "skill_score")
+    meanings = semantic_scores(kept, *score_sides(kept, jobs, candidates, settings), settings).select("job_id", "candidate_id", "semantic_score", "semantic_status")
+    scored = skills.join(meanings, ["job_id", "candidate_id"])
+    scored = scored.join(quality, "candidate_id", "left") if quality is not None else scored.withColumn("quality_score", F.lit(None).cast("double"))
+    overall = weighted_sum({"skill_score": settings.overall_skill, "semantic_score": settings.overall_semantic, "quality_score": settings.overall_quality})
+    return ranked(scored.withColumn("quality_score", F.coalesce("quality_score", F.lit(0.0))).withColumn("overall_score", overall))

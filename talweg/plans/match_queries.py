@@ -9,9 +9,9 @@ from talweg.functions import text as x
 from talweg.functions.lexicons import SKILL_ALIASES, alias_pairs, offered_terms
 from talweg.functions.vectors import band_score, cosine, experience_score, hash_bucket
 from talweg.operators.chunks import candidate_chunks, embedding_plan, job_chunks
-from talweg.operators.matching import degree_gate, delivery_pairs, embed_chunks, semantic_scores, skill_scores
+from talweg.operators.matching import degree_gate, delivery_pairs, score_pool, score_sides, semantic_scores, skill_scores
 from talweg.operators.retrieval import best_per_query, bm25, delivery
-from talweg.session import cut, spread, table
+from talweg.session import spread, table
 
 DIGITS = 8
 
@@ -25,6 +25,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "match_retries").select("job_id", "candidate_id").distinct()
 
 
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (job, candidate) pairs of every job's pool."""
+    return table(spark, sf_dir, "candidate_job_matches").where("job_id is not null and candidate_id is not null").select("job_id", "candidate_id").distinct()
+
+
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", x.content_hash(F.col("text")).alias("content_hash"))
 
@@ -85,46 +90,94 @@ def content_hash_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.groupBy("profile_type", "action").agg(F.count("*").alias("n"))
 
 
-def degree_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gate = degree_gate(_pairs(spark, sf_dir), table(spark, sf_dir, "jobs"), table(spark, sf_dir, "resumes"))
+# Each scoring query has two forms: over the pairs asked for again, and over every job's pool.
+
+
+def _gates(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    gate = degree_gate(pairs, table(spark, sf_dir, "jobs"), table(spark, sf_dir, "resumes"))
     return gate.select("job_id", "candidate_id", "required_rank", "best_rank", "gate", "meets_requirement")
 
 
-def skill_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = skill_scores(_pairs(spark, sf_dir), table(spark, sf_dir, "jobs"), table(spark, sf_dir, "candidates"))
+def degree_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gates(spark, sf_dir, _pairs(spark, sf_dir))
+
+
+def pool_degree_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gates(spark, sf_dir, _pool(spark, sf_dir))
+
+
+def _overlap(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    scored = skill_scores(pairs, table(spark, sf_dir, "jobs"), table(spark, sf_dir, "candidates"))
     return scored.select("job_id", "candidate_id", "skill_score", "status", F.array_join("matched", "|").alias("matched"))
 
 
+def skill_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir, _pairs(spark, sf_dir))
+
+
+def pool_skill_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlap(spark, sf_dir, _pool(spark, sf_dir))
+
+
 def skill_lexicon_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "candidates").select("id", F.array_join(offered_terms(F.col("skills")), "|").alias("terms"))
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    pairs = _pairs(spark, sf_dir)
-    jobs = _once(spark, sf_dir, "jobs").join(pairs.select(F.col("job_id").alias("id")).distinct(), "id", "left_semi")
-    people = _once(spark, sf_dir, "candidates").join(pairs.select(F.col("candidate_id").alias("id")).distinct(), "id", "left_semi")
-    return pairs, cut(embed_chunks(job_chunks(jobs))), cut(embed_chunks(candidate_chunks(people)))
+def _sides(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return pairs, *score_sides(pairs, _once(spark, sf_dir, "jobs"), _once(spark, sf_dir, "candidates"))
 
 
-def rrf_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best experience for each duty of every pair asked for."""
-    best = best_per_query(delivery_pairs(*_sides(spark, sf_dir)))
+def _alignments(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """The best experience for each duty of every pair."""
+    best = best_per_query(delivery_pairs(*_sides(spark, sf_dir, pairs)))
     return best.select("group_id", "j", "d", F.round("cosine", 6).alias("cosine"), F.round("bm25", 6).alias("bm25"), "rank_cos", "rank_bm25", "bm25_degenerate", F.round("rrf", 8).alias("rrf"))
 
 
+def rrf_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignments(spark, sf_dir, _pairs(spark, sf_dir))
+
+
+def pool_rrf_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignments(spark, sf_dir, _pool(spark, sf_dir))
+
+
+def _delivered(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    return delivery(delivery_pairs(*_sides(spark, sf_dir, pairs))).select("group_id", "n_queries", "n_chunks", "delivery_score")
+
+
 def delivery_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delivery(delivery_pairs(*_sides(spark, sf_dir))).select("group_id", "n_queries", "n_chunks", "delivery_score")
+    return _delivered(spark, sf_dir, _pairs(spark, sf_dir))
 
 
-def semantic_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = semantic_scores(*_sides(spark, sf_dir))
+def pool_delivery_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _delivered(spark, sf_dir, _pool(spark, sf_dir))
+
+
+def _semantic(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    scored = semantic_scores(*_sides(spark, sf_dir, pairs))
     return scored.select("job_id", "candidate_id", "skill_band", "role_band", "delivery_score", "semantic_score", "semantic_status")
 
 
+def semantic_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _semantic(spark, sf_dir, _pairs(spark, sf_dir))
+
+
+def pool_semantic_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _semantic(spark, sf_dir, _pool(spark, sf_dir))
+
+
+def pool_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every job's pool through gate, scores and rank."""
+    scored = score_pool(_pool(spark, sf_dir), _once(spark, sf_dir, "jobs"), _once(spark, sf_dir, "candidates"), table(spark, sf_dir, "resumes"))
+    return scored.select("job_id", "candidate_id", "skill_score", "semantic_score", "semantic_status", "quality_score", "overall_score", "place")
+
+
 QUERIES = {
     "content_hashes": content_hashes, "language_detect": language_detect, "year_months": year_months, "tokenize_docs": tokenize_docs, "bm25_scores": bm25_scores, "cosine_bands": cosine_bands,
     "hash_buckets": hash_buckets, "job_chunk_rows": job_chunk_rows, "candidate_chunk_rows": candidate_chunk_rows, "content_hash_diff": content_hash_diff, "degree_gates": degree_gates,
     "skill_overlap": skill_overlap, "skill_lexicon_match": skill_lexicon_match, "rrf_alignments": rrf_alignments, "delivery_scores": delivery_scores, "semantic_scoring": semantic_scoring,
+    "pool_degree_gates": pool_degree_gates, "pool_skill_overlap": pool_skill_overlap, "pool_rrf_alignments": pool_rrf_alignments, "pool_delivery_scores": pool_delivery_scores,
+    "pool_semantic_scoring": pool_semantic_scoring, "pool_matches": pool_matches,
 }
 
 # --- the same in SQL ---------------------------------------------------------------------------------------------------
@@ -296,3 +349,13 @@ ORACLES = {
         CAST(printf('%.1f', CAST(0.2 AS DOUBLE) * coalesce(skill_band, 0) + CAST(0.8 AS DOUBLE) * coalesce(delivery_score, 0)) AS DOUBLE) AS semantic_score, CASE WHEN a.candidate_id IN (SELECT candidate_id FROM cc) THEN 'available' ELSE 'not_indexed' END AS semantic_status
         FROM asked a LEFT JOIN sk USING (job_id, candidate_id) LEFT JOIN ro USING (job_id, candidate_id) LEFT JOIN delivered v ON v.group_id = a.job_id || '|' || a.candidate_id""",
 }
+
+
+def _over_pool(sql: str) -> str:
+    """The same over every job's pool, with vectors of the whole chunk."""
+    pool = "(SELECT job_id, candidate_id FROM candidate_job_matches WHERE job_id IS NOT NULL AND candidate_id IS NOT NULL)"
+    whole = sql.replace("substring(chunk_text, 1, 2000) AS st FROM (SELECT chunk_text", "chunk_text AS st FROM (SELECT chunk_text")
+    return whole.replace("FROM match_retries", f"FROM {pool}")
+
+
+ORACLES |= {f"pool_{name}": _over_pool(ORACLES[name]) for name in ("degree_gates", "rrf_alignments", "delivery_scores", "semantic_scoring")}
