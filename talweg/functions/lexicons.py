@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from talweg.functions.nfkc import nfkc, nfkc_each
 from talweg.functions.text import HAN, strip
 from talweg.functions.vectors import bound
 
@@ -51,7 +53,12 @@ def alias_pairs(lexicon: Mapping[str, Sequence[str]] = SKILL_ALIASES) -> list[tu
 
 
 def canonical_skill(phrase: Column, lexicon: Mapping[str, Sequence[str]] = SKILL_ALIASES) -> Column:
-    """Exact spelling, else the first spelling of two or more characters that is part of the phrase; null if none is."""
+    """Exact spelling, else the first spelling of two or more characters that is part of the phrase in NFKC; null if none is."""
+    return _canonical(nfkc(_bare(phrase)), lexicon)
+
+
+def _canonical(phrase: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
+    """The same of a phrase that is in NFKC."""
     pairs = alias_pairs(lexicon)
     exact = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in pairs if len(a) >= 2])
@@ -63,28 +70,33 @@ def canonical_skill(phrase: Column, lexicon: Mapping[str, Sequence[str]] = SKILL
     return bound(F.lower(strip(phrase)), found)
 
 
-def _ordered(terms: Column, final) -> Column:
-    kept = F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: strip(t)), lambda t: t.isNotNull() & (t != ""))
-    return F.array_distinct(F.transform(kept, final))
+def _bare(t: Column) -> Column:
+    """Without any Unicode white space at both ends; NFKC would turn it into blanks that stay."""
+    return strip(F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
+
+
+def _kept(terms: Column) -> Column:
+    return F.filter(F.transform(F.coalesce(terms, F.array().cast("array<string>")), _bare), lambda t: t.isNotNull() & (t != ""))
 
 
 def required_terms(terms: Column, lexicon: Mapping[str, Sequence[str]] = SKILL_ALIASES) -> Column:
-    """Terms of a demand: canonical, else in lower case; each once, in order."""
-    return _ordered(terms, lambda t: F.coalesce(canonical_skill(t, lexicon), F.lower(t)))
+    """Terms of a demand: canonical, else as they stand in lower case; each once, in order."""
+    kept = _kept(terms)
+    return F.array_distinct(F.zip_with(kept, nfkc_each(kept), lambda t, n: F.coalesce(_canonical(n, lexicon), F.lower(t))))
 
 
 def offered_terms(terms: Column, lexicon: Mapping[str, Sequence[str]] = SKILL_ALIASES) -> Column:
-    """Terms of an offer: Han terms are cut to 24 characters and keep their case, others are in lower case; canonical where known."""
+    """Terms of an offer, in NFKC: Han terms are cut to 24 characters and keep their case, others are in lower case; canonical where known."""
     def token(t: Column) -> Column:
         return F.when(t.rlike(f"[{HAN}]"), F.substring(t, 1, 24)).otherwise(F.lower(t))
 
-    return _ordered(terms, lambda t: bound(token(t), lambda own: F.coalesce(canonical_skill(own, lexicon), own)))
+    return F.array_distinct(F.transform(nfkc_each(_kept(terms)), lambda t: bound(token(t), lambda own: F.coalesce(_canonical(own, lexicon), own))))
 
 
 def labels_by_keyword(text: Column, labels: Mapping[str, Sequence[str]]) -> Column:
-    """Labels with any keyword in the text, in the order of the mapping."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    tests = [F.when(F.lit(False) if not words else _any([low.contains(w.lower()) for w in words]), F.lit(label)) for label, words in labels.items()]
+    """Labels with any keyword in the text, both in NFKC and lower case, in the order of the mapping."""
+    low = F.lower(nfkc(F.coalesce(text, F.lit(""))))
+    tests = [F.when(F.lit(False) if not words else _any([low.contains(unicodedata.normalize("NFKC", w).lower()) for w in words]), F.lit(label)) for label, words in labels.items()]
     return F.array_compact(F.array(*tests))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.config import Settings
 from talweg.functions.lexicons import offered_terms, required_terms
+from talweg.functions.nfkc import nfkc, nfkc_each
 from talweg.functions.text import blank, degree_rank, strip, tokens
 from talweg.functions.vectors import band_score, cosine, hash_embedding, rounded
 from talweg.operators.chunks import SEMANTIC_CHARS, candidate_chunks, job_chunks
@@ -23,14 +24,15 @@ def degree_gate(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame) -> DataFr
     """``pairs`` (job_id, candidate_id) with required_rank, best_rank, levels, gate and meets_requirement.
 
     The best degree over a candidate's readable résumés counts; levels are those of the newest résumé that passes (by updated_at, then
-    id). No demand, or one that names no known degree, lets everyone pass (``gate`` says which).
+    id). Degrees are looked for in NFKC. No demand, or one that names no known degree, lets everyone pass (``gate`` says which).
     """
     wanted = jobs.select(F.col("id").alias("job_id"), required_degree(F.col("education_requirement"), F.col("structured.education_requirement")).alias("required")).distinct()
-    wanted = wanted.withColumn("required_rank", degree_rank(F.lower("required")))
-    levels = F.transform(F.coalesce(F.col("parsed.layer_1_extracted.education.degree"), F.array().cast("array<string>")), lambda d: strip(F.lower(d)))
+    wanted = wanted.withColumn("required_rank", degree_rank(F.lower(nfkc(F.col("required")))))
+    degrees = F.coalesce(F.col("parsed.layer_1_extracted.education.degree"), F.array().cast("array<string>"))
+    levels = F.transform(degrees, lambda d: strip(F.lower(d)))
+    best = F.array_max(F.transform(nfkc_each(degrees), lambda d: degree_rank(F.lower(d))))
     readable = resumes.where("parsed is not null and status in ('parsed', 'candidate_bound')").select(
-        "candidate_id", "id", "updated_at", F.filter(levels, lambda d: d.isNotNull() & (d != "")).alias("levels")).distinct()
-    readable = readable.withColumn("best", F.array_max(F.transform("levels", degree_rank)))
+        "candidate_id", "id", "updated_at", F.filter(levels, lambda d: d.isNotNull() & (d != "")).alias("levels"), best.alias("best")).distinct()
     joined = pairs.join(wanted, "job_id", "left").join(readable, "candidate_id", "left")
     passes = F.coalesce(F.col("best") >= F.col("required_rank"), F.lit(False))
     found = joined.groupBy("job_id", "candidate_id", "required", "required_rank").agg(
