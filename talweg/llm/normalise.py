@@ -21,7 +21,7 @@ from talweg.functions.charfold import BLANKS, DASHES, INVISIBLE, KANA_LOOKALIKE,
 
 # Blocks in which every character is stable, as a Java and Python character class: ASCII, the composed Latin letters
 # that are NFC and NFKC quick-check Yes, the unified ideographs, and CJK punctuation that has no decomposition.
-STABLE_CLASS = r"\x00-\x7f¡-§©«¬®°±¶·»¿-ĲĵĶ-ĿŁ-ňŊ-žƀ-ǃ、-〟㐀-鿿"
+STABLE_CLASS = r"\x00-\x7f¡-§©«¬®°±¶·»¿-İĴ-ľŁ-ňŊ-žƀ-ǃ、-〟㐀-鿿"
 _STABLE = re.compile(f"[{STABLE_CLASS}]*")
 _OTHER = set(INVISIBLE) | set(BLANKS) | set(DASHES) | set(RADICALS) | set(LOOKALIKE) | set(KANA_LOOKALIKE)
 
