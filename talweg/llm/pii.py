@@ -166,10 +166,11 @@ def find_personal_data(texts: DataFrame, names: DataFrame, least_share: float =
     known = cut(plain.select(consistent("name").alias("name")).distinct())
     pattern = _han_pattern(*name_parts(known))
     types = dict(texts.dtypes)
-    cues = tuple(c.casefold() for c in NAME_CUES)
+    # A Latin cue is a word of its own, not the end of one.
+    cued = "(?:" + "|".join(("(?<![a-zß-ɏ])" if c[0].isascii() else "") + re.escape(c.casefold()) for c in NAME_CUES) + ")$"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        han = re.compile(pattern) if pattern else None
+        han, cue = re.compile(pattern) if pattern else None, re.compile(cued)
         columns = [*keys, "pii_type", "start_at", "end_at", "term", "left_cue", "right_cue", "sure"]
         for b in batches:
             rows = []
@@ -192,7 +193,7 @@ def find_personal_data(texts: DataFrame, names: DataFrame, least_share: float =
                     if any(x < q and y > p for _, p, q in spans):
                         continue
                     before = text[max(0, x - 14) : x].casefold().rstrip(" ")
-                    rows.append((*key, "name", x, y, term, left, right, before.endswith(cues)))
+                    rows.append((*key, "name", x, y, term, left, right, bool(cue.search(before))))
             yield pd.DataFrame(rows, columns=columns)
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["pii_type string, start_at int, end_at int, term string, left_cue string, right_cue string, sure boolean"])
@@ -217,9 +218,9 @@ def find_personal_data(texts: DataFrame, names: DataFrame, least_share: float =
 
     halves = F.split("term", " ")
     judged = terms.withColumn("kind", kind).withColumn("first_part", F.element_at(halves, 1)).withColumn("last_part", F.element_at(halves, -1))
-    by_cue = judged.where("kind = 'han'").join(disclosure("left_cue"), ["kind", "left_cue"], "left_semi").join(disclosure("right_cue"), ["kind", "right_cue"], "left_semi")
+    by_cue = judged.join(disclosure("left_cue"), ["kind", "left_cue"], "left_semi").join(disclosure("right_cue"), ["kind", "right_cue"], "left_semi")
     by_part = judged.where("kind = 'latin'").join(first, "first_part", "left_semi").join(last, "last_part", "left_semi")
-    by_word = judged.where("sure and kind = 'han'").unionByName(judged.where("sure and kind = 'latin'").join(last, "last_part", "left_semi"))
+    by_word = judged.where("sure")
     columns = [*keys, "pii_type", "start_at", "end_at"]
     every = [shaped, own, by_cue, by_part, by_word]
     out = every[0].select(*columns)

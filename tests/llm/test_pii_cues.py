@@ -1,0 +1,15 @@
+"""Latin names whose family name no structured record has are found by a cue."""
+
+from talweg.llm.pii import find_personal_data
+
+TEXTS = [
+    ("1", "Reference: Nen Droaxley, 2021", None), ("2", "Reported to Korlar Saiveson during it", None), ("3", "Worked at Modask Energy Sales and more", None), ("4", "Machine Learning helped.", None),
+]
+
+
+def test_latin_names_after_a_cue(spark):
+    texts = spark.createDataFrame(TEXTS, "id string, raw_text string, own_name string")
+    names = spark.createDataFrame([("Clarck Clartwell",)], "name string")
+    text = {key: raw for key, raw, _ in TEXTS}
+    got = {r["id"]: text[r["id"]][r["start_at"] : r["end_at"]] for r in find_personal_data(texts, names).collect()}
+    assert got == {"1": "Nen Droaxley", "2": "Korlar Saiveson"}
