@@ -1,10 +1,10 @@
-"""Filling containers of fixed capacity: optimal length buckets, token-budget batches inside them, leftovers filled.
+"""Filling containers of fixed capacity by largest fit, with optimal length buckets as labels.
 
-The histogram of item sizes has no more entries than the capacity. A dynamic program over it chooses the bucket
-boundaries that minimise padding (each size raised to its bucket's boundary). Batches form inside a bucket, largest items first, until the
-token budget is spent. Batches of one bucket alone leave room (items of over half the capacity would stand alone), so what is left of a
-batch takes the largest items of lower buckets that fit. This runs per shard; shards hold a bounded number of tokens and items,
-and there are as many as the corpus needs.
+A container opens with the largest item left and takes the largest items that still fit until its token budget is spent. Batches formed
+inside length buckets alone would leave room (items of over half the capacity would stand alone), so all sizes take part, and
+no item's container depends on the buckets. They label a container by its largest item: the histogram of item sizes has no more
+entries than the capacity, and a dynamic program over it chooses the boundaries that minimise padding (each size raised to its
+bucket's boundary). This runs per shard; shards hold a bounded number of tokens and items, and there are as many as the corpus needs.
 """
 
 from __future__ import annotations
