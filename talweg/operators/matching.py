@@ -43,6 +43,11 @@ def degree_gate(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame) -> DataFr
         (F.col("required_rank").isNull() | F.col("any")).alias("meets_requirement"))
 
 
+def gate_counts(gates: DataFrame) -> DataFrame:
+    """How many candidates of each job met the gate and how many passed it."""
+    return gates.groupBy("job_id").agg(F.count("*").alias("total_input"), F.count_if("meets_requirement").alias("passed_count"))
+
+
 def skill_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Share of the demanded skills a candidate has: pair, skill_score, matched, missing (in the job's order) and status."""
     s = F.col("structured")

@@ -9,7 +9,7 @@ from talweg.functions import text as x
 from talweg.functions.lexicons import SKILL_ALIASES, alias_pairs, offered_terms
 from talweg.functions.vectors import band_score, cosine, experience_score, hash_bucket
 from talweg.operators.chunks import candidate_chunks, embedding_plan, job_chunks
-from talweg.operators.matching import degree_gate, delivery_pairs, score_pool, score_sides, semantic_scores, skill_scores
+from talweg.operators.matching import degree_gate, delivery_pairs, gate_counts, score_pool, score_sides, semantic_scores, skill_scores
 from talweg.operators.retrieval import best_per_query, bm25, delivery
 from talweg.session import spread, table
 
@@ -106,6 +106,10 @@ def pool_degree_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gates(spark, sf_dir, _pool(spark, sf_dir))
 
 
+def pool_gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate_counts(pool_degree_gates(spark, sf_dir))
+
+
 def _overlap(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     scored = skill_scores(pairs, table(spark, sf_dir, "jobs"), table(spark, sf_dir, "candidates"))
     return scored.select("job_id", "candidate_id", "skill_score", "status", F.array_join("matched", "|").alias("matched"))
@@ -177,7 +181,7 @@ QUERIES = {
     "hash_buckets": hash_buckets, "job_chunk_rows": job_chunk_rows, "candidate_chunk_rows": candidate_chunk_rows, "content_hash_diff": content_hash_diff, "degree_gates": degree_gates,
     "skill_overlap": skill_overlap, "skill_lexicon_match": skill_lexicon_match, "rrf_alignments": rrf_alignments, "delivery_scores": delivery_scores, "semantic_scoring": semantic_scoring,
     "pool_degree_gates": pool_degree_gates, "pool_skill_overlap": pool_skill_overlap, "pool_rrf_alignments": pool_rrf_alignments, "pool_delivery_scores": pool_delivery_scores,
-    "pool_semantic_scoring": pool_semantic_scoring, "pool_matches": pool_matches,
+    "pool_semantic_scoring": pool_semantic_scoring, "pool_matches": pool_matches, "pool_gate_counts": pool_gate_counts,
 }
 
 # --- the same in SQL ---------------------------------------------------------------------------------------------------
@@ -359,3 +363,4 @@ def _over_pool(sql: str) -> str:
 
 
 ORACLES |= {f"pool_{name}": _over_pool(ORACLES[name]) for name in ("degree_gates", "rrf_alignments", "delivery_scores", "semantic_scoring")}
+ORACLES["pool_gate_counts"] = f"SELECT job_id, count(*) AS total_input, count(*) FILTER (WHERE meets_requirement) AS passed_count FROM ({ORACLES['pool_degree_gates']}) GROUP BY job_id"

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from talweg.operators.matching import embed_chunks, newest
+from talweg.operators.matching import embed_chunks, gate_counts, newest
 from talweg.plans.registry import QUERIES
 from talweg.session import table
 
@@ -61,3 +61,8 @@ def test_pool_limit(spark):
     pairs = spark.createDataFrame([("j", c) for c in "abc"], "job_id string, candidate_id string")
     people = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "id string, day int").select("id", F.make_timestamp(F.lit(2024), F.lit(1), "day", F.lit(0), F.lit(0), F.lit(0)).alias("updated_at"))
     assert {r["candidate_id"] for r in newest(pairs, people, 2).collect()} == {"b", "c"} and newest(pairs, people, None).count() == 3
+
+
+def test_gate_counts(spark):
+    gates = spark.createDataFrame([("j", "a", True), ("j", "b", False), ("k", "a", False)], "job_id string, candidate_id string, meets_requirement boolean")
+    assert {tuple(r) for r in gate_counts(gates).collect()} == {("j", 2, 1), ("k", 1, 0)}
