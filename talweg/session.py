@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "talweg") -> SparkSession:
@@ -46,21 +47,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master, else an error.
+
+    The setting is fixed when a session starts, so the temporary folder is kept with the context, not in the configuration.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="talweg-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not getattr(context, "_talweg_folder", None):
+        context._talweg_folder = tempfile.mkdtemp(prefix="talweg-")
+    return context._talweg_folder
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for work that is heavy per row.
 
     Input of many files or row groups is left as it is; only where a table comes in fewer pieces (one small file) its rows are dealt out.
+    What has been shuffled already is left as it is too: counting its partitions would run the shuffle.
     """
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if "Exchange" in plan or "Aggregate" in plan or "Join" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
+def bounded(small: DataFrame, most: int = 50_000) -> DataFrame:
+    """``small`` marked for broadcast behind a count of its rows; over ``most`` rows the planner joins it as it sees fit."""
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def cut(df: DataFrame) -> DataFrame:
