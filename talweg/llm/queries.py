@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talweg.llm import corpus_queries, text_queries
+from talweg.llm import corpus_queries, data_queries, text_queries
 
-_MODULES = (text_queries, corpus_queries)
+_MODULES = (text_queries, corpus_queries, data_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
