@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import sys
 
 import pytest
 
@@ -42,4 +43,13 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert set(e.entry(spark).columns) == {"job_id", "match_id"}
+    assert {"job_id", "candidate_id", "overall_score", "place"} <= set(e.entry(spark).columns)
+
+
+def test_queries_without_the_llm_subpackage(monkeypatch):
+    import __spark_entry__ as e
+
+    for name in [n for n in sys.modules if n.startswith("talweg.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "talweg.llm", None)  # importing it raises ImportError
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
