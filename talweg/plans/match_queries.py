@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -272,7 +274,7 @@ lexical AS (SELECT q.group_id, q.j, c.d, coalesce(round(s, 10), 0) AS bm25 FROM
 
 
 _WEIGHTS = f"""
-texts AS (SELECT DISTINCT sha256(chunk_text) AS h, substring(chunk_text, 1, 2000) AS st FROM (SELECT chunk_text FROM job_chunks UNION ALL SELECT chunk_text FROM cand_chunks)),
+texts AS (SELECT DISTINCT sha256(chunk_text) AS h, chunk_text AS st FROM (SELECT chunk_text FROM job_chunks UNION ALL SELECT chunk_text FROM cand_chunks)),
 vec AS (SELECT h, b, count(*) AS c FROM (SELECT h, {_bucket('w', 128)} AS b FROM (SELECT h, unnest(regexp_split_to_array(st, '[\\s\\x{{3000}}\\x{{00a0}}\\x{{2003}}\\x{{2009}}\\x{{202f}}]+')) AS w FROM texts) WHERE w <> '') GROUP BY ALL),
 len AS (SELECT h, sqrt(sum(c * c)) AS n FROM vec GROUP BY h),
 asked AS (SELECT DISTINCT job_id, candidate_id FROM match_retries),
@@ -312,11 +314,25 @@ _YM = r"""CASE WHEN regexp_matches(lower(coalesce({0}, '')), '至今|现在|pres
     ELSE regexp_extract(coalesce({0}, ''), '(?:19|20)\d{{2}}') END"""
 _PAIRS = alias_pairs(SKILL_ALIASES)
 _EXACT = "CASE " + " ".join(f"WHEN low = '{a}' THEN '{c}'" for a, c in _PAIRS) + " " + " ".join(f"WHEN low LIKE '%{a}%' THEN '{c}'" for a, c in _PAIRS if len(a) >= 2) + " END"
+# DuckDB has no NFKC: it is the composition of the characters' own compatibility forms, which come from Python's tables by rule.
+_FORMS = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, 0x30000) if not 0xAC00 <= c <= 0xDFFF)
+_NFKC = ", ".join(f"({ord(c)}, '{form.replace(chr(39), chr(39) * 2)}')" for c, form in _FORMS if form != c)
+_SPACES = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _bare(c: str) -> str:
+    return _strip(f"regexp_replace({c}, '^{_SPACES}|{_SPACES}$', '', 'g')")
+
+
 _TERMS = f"""
-raw_terms AS (SELECT 'o' AS side, id, i, {_strip('v')} AS v FROM (SELECT id, unnest(skills) AS v, generate_subscripts(skills, 1) AS i FROM {_once_sql('candidates')})
-    UNION ALL SELECT 'r', id, i, {_strip('v')} FROM (SELECT id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM (SELECT id, list_concat(coalesce(structured.required_skills, []), coalesce(structured.preferred_skills, [])) AS a FROM {_once_sql('jobs')}))),
-cut_terms AS (SELECT side, id, i, v, CASE WHEN side = 'o' AND regexp_matches(v, '[{_HAN}]') THEN substring(v, 1, 24) ELSE lower(v) END AS own FROM raw_terms WHERE v <> ''),
-named AS (SELECT side, id, min(i) AS i, coalesce(canon, own) AS term FROM (SELECT *, {_EXACT} AS canon FROM (SELECT *, lower({_strip('own')}) AS low FROM cut_terms)) GROUP BY side, id, coalesce(canon, own))"""
+forms(c, form) AS (VALUES {_NFKC}),
+raw_terms AS (SELECT 'o' AS side, id, i, {_bare('v')} AS v FROM (SELECT id, unnest(skills) AS v, generate_subscripts(skills, 1) AS i FROM {_once_sql('candidates')})
+    UNION ALL SELECT 'r', id, i, {_bare('v')} FROM (SELECT id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM (SELECT id, list_concat(coalesce(structured.required_skills, []), coalesce(structured.preferred_skills, [])) AS a FROM {_once_sql('jobs')}))),
+odd_terms AS (SELECT v, nfc_normalize(string_agg(coalesce(form, chr(u)), '' ORDER BY p)) AS nv FROM
+    (SELECT v, unicode(substring(v, p, 1)) AS u, p FROM (SELECT DISTINCT v FROM raw_terms WHERE regexp_matches(v, '[^\\x00-\\x7f{_HAN}]')), unnest(generate_series(1, length(v))) AS t(p)) LEFT JOIN forms ON c = u GROUP BY v),
+nfkc_terms AS (SELECT side, id, i, v, coalesce(nv, v) AS nv FROM raw_terms LEFT JOIN odd_terms USING (v) WHERE v <> ''),
+cut_terms AS (SELECT side, id, i, CASE WHEN side = 'r' THEN lower(v) WHEN regexp_matches(nv, '[{_HAN}]') THEN substring(nv, 1, 24) ELSE lower(nv) END AS own, CASE WHEN side = 'r' THEN nv WHEN regexp_matches(nv, '[{_HAN}]') THEN substring(nv, 1, 24) ELSE nv END AS sought FROM nfkc_terms),
+named AS (SELECT side, id, min(i) AS i, coalesce(canon, own) AS term FROM (SELECT *, {_EXACT} AS canon FROM (SELECT *, lower({_strip('sought')}) AS low FROM cut_terms)) GROUP BY side, id, coalesce(canon, own))"""
 
 ORACLES = {
     "content_hashes": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents",
@@ -356,11 +372,11 @@ ORACLES = {
 
 
 def _over_pool(sql: str) -> str:
-    """The same over every job's pool, with vectors of the whole chunk."""
+    """The same over every job's pool."""
     pool = "(SELECT job_id, candidate_id FROM candidate_job_matches WHERE job_id IS NOT NULL AND candidate_id IS NOT NULL)"
-    whole = sql.replace("substring(chunk_text, 1, 2000) AS st FROM (SELECT chunk_text", "chunk_text AS st FROM (SELECT chunk_text")
-    return whole.replace("FROM match_retries", f"FROM {pool}")
+    return sql.replace("FROM match_retries", f"FROM {pool}")
 
 
 ORACLES |= {f"pool_{name}": _over_pool(ORACLES[name]) for name in ("degree_gates", "rrf_alignments", "delivery_scores", "semantic_scoring")}
+ORACLES["pool_skill_overlap"] = ORACLES["skill_overlap"].replace("FROM match_retries r", "FROM (SELECT job_id, candidate_id FROM candidate_job_matches) r")
 ORACLES["pool_gate_counts"] = f"SELECT job_id, count(*) AS total_input, count(*) FILTER (WHERE meets_requirement) AS passed_count FROM ({ORACLES['pool_degree_gates']}) GROUP BY job_id"
