@@ -30,6 +30,7 @@ class Settings:
     job_coverage: float = 0.62
     top_chunks: int = 3
     embedding_dim: int = 128
+    embedding_batch: int = 16
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     chunk_chars: int = 4000

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,10 +64,16 @@ def bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def hash_embedding(text: Column, dim: int = 128) -> Column:
-    """Counts of hashed white-space tokens, at length 1; zeros for empty text."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda t: t != "")
-    buckets = F.transform(words, lambda t: hash_bucket(t, dim))
-    counts = bound(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double")))
-    sized = bound(counts, lambda c: F.struct(c.alias("c"), norm(c).alias("n")))
-    return bound(sized, lambda s: F.transform(s["c"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))
+@lru_cache(maxsize=1 << 16)
+def _bucket_of(word: str, dim: int) -> int:
+    return int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest(), 16) % dim
+
+
+def hash_vectors(texts: Sequence[str], dim: int = 128) -> list[np.ndarray]:
+    """Counts of hashed white-space tokens of each text, at length 1; zeros for empty text."""
+    out = []
+    for text in texts:
+        counts = np.bincount([_bucket_of(w, dim) for w in text.split()] or [0], minlength=dim).astype(float) if text.strip() else np.zeros(dim)
+        length = np.sqrt((counts * counts).sum())
+        out.append(counts / length if length else counts)
+    return out

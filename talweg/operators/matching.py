@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +14,12 @@ from talweg.config import Settings
 from talweg.functions.lexicons import offered_terms, required_terms
 from talweg.functions.nfkc import nfkc, nfkc_each
 from talweg.functions.text import blank, degree_rank, strip, tokens
-from talweg.functions.vectors import band_score, cosine, hash_embedding, rounded
+from talweg.functions.vectors import band_score, cosine, hash_vectors, rounded
 from talweg.operators.chunks import SEMANTIC_CHARS, candidate_chunks, job_chunks
 from talweg.operators.retrieval import bm25, delivery, fuse, weighted_sum
-from talweg.session import cut, spread
+from talweg.session import cut, dealt
+
+Provider = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
 def required_degree(own: Column, structured: Column) -> Column:
@@ -65,13 +72,42 @@ def skill_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> Da
         matched.alias("matched"), missing.alias("missing"), status.alias("status"))
 
 
-def embed_chunks(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Chunks with tokens and a hash vector; each distinct text is embedded once.
-
-    The vector is that of the whole chunk; only the lexical side (tokens, snippets) reads its first ``SEMANTIC_CHARS`` characters.
+def embedded(texts: Sequence[str], provider: Provider, dim: int, size: int) -> tuple[list[Sequence[float]], list[str]]:
+    """(vectors, statuses) of ``texts``, asked of the provider ``size`` at a time; a batch that fails, or is answered amiss, gives zeros."""
+    vectors: list[Sequence[float]] = []
+    statuses: list[str] = []
+    for i in range(0, len(texts), size):
+        part = list(texts[i : i + size])
+        try:
+            got = [np.asarray(v, dtype=float) for v in provider(part)]
+            if len(got) != len(part) or any(v.shape != (dim,) for v in got):
+                raise ValueError("vectors in another number or size than asked for")
+            statuses += ["available"] * len(part)
+        except Exception:  # whatever a provider raises, the other batches go on
+            got = [np.zeros(dim)] * len(part)
+            statuses += ["embedding_failed"] * len(part)
+        vectors += got
+    return vectors, statuses
+
+
+def embed_chunks(chunks: DataFrame, settings: Settings = Settings(), provider: Provider | None = None) -> DataFrame:
+    """Chunks with tokens, vector and embedding_status; each distinct text is embedded once, in batches, by ``provider`` or by hashing.
+
+    ``provider`` takes a list of texts and gives as many vectors of ``settings.embedding_dim`` numbers; it runs in the tasks. A batch
+    that fails gives zero vectors and the status ``embedding_failed``. The vector is that of the whole chunk; only
+    the lexical side (tokens, snippets) reads its first ``SEMANTIC_CHARS`` characters.
     """
-    texts = spread(chunks.select("content_hash", "chunk_text").dropDuplicates(["content_hash"]))
-    ready = texts.select("content_hash", F.substring("chunk_text", 1, SEMANTIC_CHARS).alias("semantic_text"), hash_embedding(F.col("chunk_text"), settings.embedding_dim).alias("vector"))
+    dim, size = settings.embedding_dim, settings.embedding_batch
+    ask = provider or partial(hash_vectors, dim=dim)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            vectors, statuses = embedded(b["chunk_text"].tolist(), ask, dim, size)
+            yield b.assign(vector=vectors, embedding_status=statuses)
+
+    texts = dealt(chunks.select("content_hash", "chunk_text"), "content_hash").dropDuplicates(["content_hash"])
+    ready = texts.mapInPandas(run, "content_hash string, chunk_text string, vector array<double>, embedding_status string")
+    ready = ready.select("content_hash", F.substring("chunk_text", 1, SEMANTIC_CHARS).alias("semantic_text"), "vector", "embedding_status")
     return chunks.join(ready.withColumn("tokens", tokens(F.col("semantic_text"))), "content_hash")
 
 
@@ -86,9 +122,11 @@ def delivery_pairs(pairs: DataFrame, job_side: DataFrame, candidate_side: DataFr
     group = F.concat_ws("|", "job_id", "candidate_id").alias("group_id")
     duties = job_side.where("block in ('resp', 'jd_raw')").select(F.col("entity_id").alias("job_id"), _order(F.col("profile_type")).alias("j"), F.col("tokens").alias("jt"), F.col("vector").alias("jv"))
     done = candidate_side.where("block in ('project', 'work')").select(F.col("entity_id").alias("candidate_id"), _order(F.col("profile_type")).alias("d"), F.col("tokens").alias("dt"), F.col("vector").alias("dv"))
-    met = pairs.join(duties, "job_id").join(done, "candidate_id").select(group, "j", "d", "jt", "jv", "dt", "dv")
-    queries = met.groupBy("group_id", "j").agg(F.first("jt").alias("tokens"))
-    corpus = met.groupBy("group_id", "d").agg(F.first("dt").alias("tokens"))
+    # Tokens go to the lexical side and vectors to the other one, each of a duty and an experience once per pair.
+    grouped = pairs.select("job_id", "candidate_id", group)
+    queries = grouped.join(duties.select("job_id", "j", F.col("jt").alias("tokens")), "job_id").select("group_id", "j", "tokens")
+    corpus = grouped.join(done.select("candidate_id", "d", F.col("dt").alias("tokens")), "candidate_id").select("group_id", "d", "tokens")
+    met = grouped.join(duties.drop("jt"), "job_id").join(done.drop("dt"), "candidate_id")
     angles = met.select("group_id", "j", "d", F.round(cosine(F.col("jv"), F.col("dv")), 10).alias("cosine"))
     return fuse(angles.join(bm25(queries, corpus, settings), ["group_id", "j", "d"]), settings)
 

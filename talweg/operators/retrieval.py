@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from talweg.config import Settings
 from talweg.functions.vectors import experience_score, rounded
+from talweg.session import cut
 
 DEGENERATE = 1e-9
 DIGITS = 10
@@ -22,23 +23,25 @@ def bm25(queries: DataFrame, corpus: DataFrame, settings: Settings = Settings(),
 
     ``queries``: group, j, tokens; ``corpus``: group, d, tokens. The corpus of a group is its own chunks. A query term counts as
     often as it occurs in the query; a query without terms scores 0 everywhere; scores are rounded to 10 digits, so that
-    ties do not hang on the order of summation. Terms of the corpus that no query of the group asks for never leave their
-    row: a row meets the asked terms of its group, and only hits are shuffled. Pairs without a common term are filled in as 0.
+    ties do not hang on the order of summation. A row of the corpus meets the asked terms of its group, keeps its hits in one array
+    and is scored in place: of the hits only counts per term are shuffled, so a group of any size is spread over the tasks that read it.
     """
     k1, b = settings.bm25_k1, settings.bm25_b
-    sizes = corpus.groupBy(group).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = queries.groupBy(group).agg(F.array_distinct(F.flatten(F.collect_set("tokens"))).alias("asked"))
-    counted = F.transform("asked", lambda q: F.struct(q.alias("term"), F.size(F.filter("tokens", lambda t: t == q)).alias("tf")))
-    met = corpus.join(asked, group).select(group, "d", F.size("tokens").alias("dl"), F.explode(F.filter(counted, lambda c: c["tf"] > 0)).alias("hit"))
-    hits = met.select(group, "d", "dl", "hit.term", "hit.tf")
-    df = hits.groupBy(group, "term").agg(F.count("*").alias("df")).join(sizes, group)
+    common = F.array_intersect("tokens", "asked")
+    counted = F.transform(common, lambda q: F.struct(q.alias("term"), F.size(F.filter("tokens", lambda t: t == q)).alias("tf")))
+    met = cut(corpus.join(asked, group).select(group, "d", F.size("tokens").alias("dl"), counted.alias("hits")))
+    sizes = met.groupBy(group).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    df = met.select(group, F.explode("hits.term").alias("term")).groupBy(group, "term").agg(F.count("*").alias("df"))
     qtf = queries.select(group, "j", F.explode("tokens").alias("term")).groupBy(group, "j", "term").agg(F.count("*").alias("qtf"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    terms = qtf.join(df, [group, "term"]).join(sizes.select(group, "n"), group).groupBy(group, "j").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("qtf") * idf))).alias("weights"))
+    sides = queries.select(group, "j").join(terms, [group, "j"], "left").groupBy(group).agg(F.collect_list(F.struct("j", "weights")).alias("sides")).join(sizes.drop("n"), group)
     length = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    weight = F.col("qtf") * idf * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / length))
-    scored = qtf.join(df, [group, "term"]).join(hits, [group, "term"]).groupBy(group, "j", "d").agg(F.round(F.sum(weight), DIGITS).alias("bm25"))
-    grid = queries.select(group, "j").join(corpus.select(group, "d"), group)
-    return grid.join(scored, [group, "j", "d"], "left").fillna(0.0, ["bm25"])
+    rows = met.join(sides, group).select(group, "d", "hits", (k1 * (1.0 - b + b * F.col("dl") / length)).alias("damp"), F.explode("sides").alias("side"))
+    weight = lambda h: F.coalesce(F.try_element_at("side.weights", h["term"]), F.lit(0.0)) * h["tf"] * (k1 + 1.0) / (h["tf"] + F.col("damp"))
+    total = F.aggregate("hits", F.lit(0.0), lambda s, h: s + weight(h))
+    return rows.select(group, F.col("side.j").alias("j"), "d", F.round(F.when(F.col("side.weights").isNull(), 0.0).otherwise(total), DIGITS).alias("bm25"))
 
 
 def competition_rank(score: Column, *partition: str) -> Column:

@@ -75,6 +75,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into ``spark.sql.shuffle.partitions`` parts, which adaptive execution does not merge: for a distinct before heavy work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def bounded(small: DataFrame, most: int = 50_000) -> DataFrame:
     """``small`` marked for broadcast behind a count of its rows; over ``most`` rows the planner joins it as it sees fit."""
     return F.broadcast(small) if small.count() <= most else small

@@ -25,6 +25,23 @@ def test_vector_reads_the_whole_chunk(spark):
     assert row["semantic_text"] == text[:2000] and row["tokens"] == ["java"] * 400
 
 
+def test_provider_answers_in_batches_and_may_fail(spark):
+    from talweg.config import Settings
+    from talweg.operators.matching import embedded
+
+    def provider(texts):
+        assert len(texts) <= 2
+        if "bad" in texts:
+            raise OSError("no answer")
+        return [[float(len(t)), 1.0] for t in texts] if "short" not in texts else [[1.0]]
+
+    vectors, statuses = embedded(["a", "bcd", "bad", "x", "short"], provider, 2, 2)
+    assert statuses == ["available"] * 2 + ["embedding_failed"] * 3 and [list(v) for v in vectors] == [[1, 1], [3, 1], [0, 0], [0, 0], [0, 0]]
+    chunks = spark.createDataFrame([("1", "resp", "resp", "abc", "h"), ("2", "resp", "resp", "abc", "h")], CHUNK)
+    rows = embed_chunks(chunks, Settings(embedding_dim=2), lambda texts: [[0.0, 2.0]] * len(texts)).collect()
+    assert [(r["vector"], r["embedding_status"]) for r in rows] == [([0.0, 2.0], "available")] * 2
+
+
 KEY = ("job_id", "candidate_id")
 
 
