@@ -19,7 +19,7 @@ def _token_capacities(spark: SparkSession, sf_dir: str) -> list[int]:
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of each text, or of each piece of a text over the capacity, for every token limit."""
     items = cut(token_pieces(table(spark, sf_dir, "documents"), _token_capacities(spark, sf_dir)))
-    return pack(items).select("capacity", "container_id", "bucket_no", "doc_id", "piece_no", "n_pieces", "n_tokens", "char_from", "char_to")
+    return pack(items).select("capacity", "container_id", "bucket_no", "placed_by", "doc_id", "piece_no", "n_pieces", "n_tokens", "char_from", "char_to")
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

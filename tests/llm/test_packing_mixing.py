@@ -27,13 +27,34 @@ def test_boundaries_are_optimal():
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=60))
 def test_fill(sizes):
-    where, kinds = packing.fill(sizes, 50, [10, 25, 50])
+    where, kinds, leftover = packing.fill(sizes, 50, [10, 25, 50])
     load = {}
-    for s, c in zip(sizes, where, strict=True):
-        load[c] = load.get(c, 0) + s
+    for size, c in zip(sizes, where, strict=True):
+        load[c] = load.get(c, 0) + size
     assert all(v <= 50 for v in load.values()) and (not sizes or max(load) < len(kinds))
-    big = [c for c in load if load[c] <= 25]
-    assert len(big) <= 1 or sum(sizes) == 0
+    # a batch has as many items of its bucket as its boundary allows, and no other item that is not a leftover
+    for c in load:
+        mine = [size for size, x, rest in zip(sizes, where, leftover, strict=True) if x == c and not rest]
+        assert not mine or len(mine) == 50 // [10, 25, 50][kinds[c]] and {int(size > 10) + int(size > 25) for size in mine} == {kinds[c]}
+
+
+def test_boundaries_decide_the_assignment():
+    rng = random.Random(5)
+    sizes = sorted((min(100, int(rng.lognormvariate(3, 0.8)) + 1) for _ in range(5000)), reverse=True)
+    histogram = {s: sizes.count(s) for s in set(sizes)}
+    best = packing.bucket_boundaries(histogram, 100)
+    least = -(-sum(sizes) // 100)
+    batched = {}
+    for name, bounds in (("best", best), ("one", [100]), ("other", [7, 30, 60, 100])):
+        where, kinds, leftover = packing.fill(sizes, 100, bounds)
+        assert len(kinds) <= 1.01 * least
+        groups = {}
+        for i, c in enumerate(where):
+            groups.setdefault(c, []).append(i)
+        batched[name] = ({tuple(g) for g in groups.values()}, sum(s for s, rest in zip(sizes, leftover, strict=True) if not rest))
+    assert batched["best"][0] != batched["one"][0] and batched["best"][0] != batched["other"][0]
+    # most tokens are placed by the batches of optimal buckets, more than by those of any others
+    assert batched["best"][1] > 0.6 * sum(sizes) and batched["best"][1] > max(batched["one"][1], batched["other"][1])
 
 
 def test_pieces_join_and_keep_characters(spark):
@@ -64,7 +85,8 @@ def test_pack(spark, monkeypatch):
     assert max(load.values()) <= 100 and len({c.split("-")[1] for c in load}) > 3
     assert sum(load.values()) / (100 * len(load)) > 0.9
     assert packing.pack(df.limit(0)).count() == 0
-    assert packing.fill_report(packing.pack(df)).first()["n_items"] == len(rows) - 2
+    report = packing.fill_report(packing.pack(df)).first()
+    assert report["n_items"] == len(rows) - 2 and 0 < report["leftover_tokens"] < report["used_tokens"] and report["batch_unused_share"] > report["unused_share"]
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 10, 11)], "doc_id bigint, capacity int, n_tokens int"))
 
