@@ -11,22 +11,23 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.llm.tokens import VOCABULARY, token_counts
-from talweg.session import cut
+from talweg.session import bounded, cut
 
 BLOCKS = 20_000
 SHARD_TOKENS = 8_000_000
-MOST_SHARDS = 4_096
 
 
 def sainte_lague(seats: int, weights: Sequence[float], caps: Sequence[int] | None = None) -> list[int]:
     """Seats of each party by highest quotients, none over its cap; ties go to the earlier party. Fewer seats are given only if all caps are full."""
     caps = [seats] * len(weights) if caps is None else list(caps)
-    got = [0] * len(weights)
-    heap = [(-w, i) for i, w in enumerate(weights) if w > 0 and caps[i] > 0]
+    got = _certain_seats(seats, weights, caps)
+    seats -= sum(got)
+    heap = [(-w / (2 * got[i] + 1), i) for i, w in enumerate(weights) if w > 0 and got[i] < caps[i]]
     heapq.heapify(heap)
     while seats > 0 and heap:
         _, i = heapq.heappop(heap)
@@ -37,6 +38,22 @@ def sainte_lague(seats: int, weights: Sequence[float], caps: Sequence[int] | Non
     return got
 
 
+def _certain_seats(seats: int, weights: Sequence[float], caps: Sequence[int]) -> list[int]:
+    """Seats whose quotients are over a common divisor that gives out fewer than there are; so few are left for the heap, however many there are in all."""
+    w, most = np.maximum(np.asarray(weights, dtype=float), 0.0), np.asarray(caps, dtype=float)
+
+    def over(divisor: float) -> np.ndarray:
+        return np.minimum(np.ceil((w / divisor - 1) / 2).clip(0), most)  # quotients w / (2 k + 1) over the divisor
+
+    if not w.sum() > 0 or not np.minimum(most, np.where(w > 0, seats, 0)).sum() > seats:
+        return [0] * len(w) if not w.sum() > 0 or seats <= 0 else [int(min(c, seats)) if x > 0 else 0 for x, c in zip(w, most, strict=True)]
+    low, high = 0.0, float(w.max()) * 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (low, middle) if over(middle).sum() <= seats else (middle, high)
+    return [int(x) for x in over(high)]
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """(uses, shares): how often each document is used in each mix, and each source's target and actual share.
 
@@ -53,12 +70,12 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: i
     chosen = documents.select("doc_id", "source", "text").where(F.col("source").isin(names or [""]))
     sized = cut(token_counts(chosen, ["doc_id", "source"], vocabulary=vocabulary).where("n_tokens > 0").dropDuplicates(["doc_id"]))
     totals = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
-    shards = {s: min(MOST_SHARDS, max(1, -(-t // SHARD_TOKENS))) for s, t in totals.items()}
+    shards = {s: max(1, -(-t // SHARD_TOKENS)) for s, t in totals.items()}
     shard_rows = [(s, n) for s, n in shards.items()]
     placed = sized.join(F.broadcast(spark.createDataFrame(shard_rows, "source string, n_shards bigint")), "source")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("n_shards"))).drop("n_shards")
     per_shard: dict[str, list[tuple[int, int]]] = {}
-    for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():  # at most MOST_SHARDS a source
+    for r in placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("t")).collect():  # one small row for SHARD_TOKENS tokens
         per_shard.setdefault(r["source"], []).append((r["shard"], r["t"]))
 
     quotas = []
@@ -70,7 +87,8 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: i
         if whole <= 0:
             continue
         size = min(total_tokens, sum(limits)) if total_tokens else int(min(limit / (w / whole) for limit, w in zip(limits, weights, strict=True) if w > 0))
-        block = max(1.0, size / BLOCKS)
+        # at least four blocks for every shard, however many there are
+        block = max(1.0, size / max(BLOCKS, 4 * sum(len(per_shard.get(r["source_name"], [])) for r in sources)))
         # a cap is a whole number of blocks; the tolerance keeps a source at its exact limit from losing its last block to rounding
         seats = sainte_lague(round(size / block), weights, [int(limit / block + 1e-6) for limit in limits])
         for r, blocks in zip(sources, seats, strict=True):
@@ -81,7 +99,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: i
     quota = spark.createDataFrame(quotas, "mix_id int, source string, most int, shard bigint, quota double, shard_tokens bigint")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     queue = placed.withColumn("upto", F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    used = queue.join(F.broadcast(quota), ["source", "shard"])
+    used = queue.join(bounded(quota), ["source", "shard"])
     passes = F.floor(F.col("quota") / F.col("shard_tokens"))
     rest = F.col("quota") - passes * F.col("shard_tokens")
     # A document that the quota's end falls into is used if more than half of it is inside.

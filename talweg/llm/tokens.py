@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.session import spread
@@ -19,6 +21,16 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def sent(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary's file to the executors, once a session; the name under which ``SparkFiles`` has it there."""
+    context = spark.sparkContext
+    done = context.__dict__.setdefault("_talweg_files", set())
+    if path not in done:
+        context.addFile(path)
+        done.add(path)
+    return os.path.basename(path)
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str = VOCABULARY) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
@@ -59,9 +71,10 @@ def pieces(ids: list[int], capacity: int, path: str = VOCABULARY) -> list[tuple[
 def token_counts(documents: DataFrame, keys: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``keys`` and n_tokens of each row; null texts count 0; whole texts, whatever their length."""
     types = dict(documents.dtypes)
+    name = sent(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(vocabulary)
+        enc = encoding(SparkFiles.get(name))
         for b in batches:
             out = b[keys].copy()
             out["n_tokens"] = [0 if not t else len(enc.encode_ordinary(t)) for t in b[text]]
@@ -72,15 +85,17 @@ def token_counts(documents: DataFrame, keys: list[str], text: str = "text", voca
 
 def token_pieces(documents: DataFrame, capacities: list[int], vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, capacity, piece_no (from 1), n_pieces, n_tokens, char_from, char_to: one piece unless a text is over the capacity."""
+    name = sent(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(vocabulary)
+        path = SparkFiles.get(name)
+        enc = encoding(path)
         for b in batches:
             rows = []
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
                 ids = enc.encode_ordinary(text) if text else []
                 for c in capacities:
-                    parts = [(len(ids), 0, len(text or ""))] if len(ids) <= c else pieces(ids, c, vocabulary)
+                    parts = [(len(ids), 0, len(text or ""))] if len(ids) <= c else pieces(ids, c, path)
                     rows += [(doc, c, i + 1, len(parts), *p) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["doc_id", "capacity", "piece_no", "n_pieces", "n_tokens", "char_from", "char_to"])
 

@@ -98,6 +98,19 @@ def test_sainte_lague():
     assert mixing.sainte_lague(10, [1, 1], [3, 3]) == [3, 3] and mixing.sainte_lague(5, []) == [] and mixing.sainte_lague(4, [0, 1]) == [0, 4]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 12)), max_size=9), st.integers(0, 60))
+def test_seats_go_to_the_highest_quotients(parties, seats):
+    """Against giving one seat after the other."""
+    weights, caps = [w for w, _ in parties], [c for _, c in parties]
+    want = [0] * len(parties)
+    for _ in range(seats):
+        able = [i for i in range(len(parties)) if weights[i] > 0 and want[i] < caps[i]]
+        if able:
+            want[max(able, key=lambda i: (weights[i] / (2 * want[i] + 1), -i))] += 1
+    assert mixing.sainte_lague(seats, weights, caps) == want
+
+
 def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_TOKENS", 300)
     docs = [(i, "big", "some words of text here") for i in range(400)] + [(1000 + i, "small", "other words, fewer of them") for i in range(20)] + [(5000, None, "x"), (5001, "small", None), (5002, "small", ""), (5003, "rest", "not asked"), (0, "big", "some words of text here")]
