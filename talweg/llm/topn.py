@@ -5,9 +5,11 @@ in it, taken from the smallest and largest row hash of two hash classes; repeate
 survivors under N. Adding the bins from the top gives the highest bin at which at least N distinct rows are certain;
 pass 2 drops every row under that bin before anything is ranked, and ranks the survivors exactly with the tie keys.
 
-Groups holding more than 1/1000 of the rows are hot. There are fewer than 1000 of them by definition, so their
-thresholds are broadcast, and their survivors are limited within each task before they meet; the thresholds of all other groups meet
-their rows in a shuffle join that no hot group enters. The histogram is combined before it is shuffled.
+No row is shuffled before it has passed its threshold: thresholds travel to the rows. Groups holding more than 1/1000 of the rows are
+hot; there are fewer than 1000 of them by definition, so they are broadcast one by one. All other groups share ``SLOTS`` slots by
+their hash, and a slot has the least threshold of its groups, which is safe for each of them; so what is broadcast is bounded, and
+with more groups than slots the filter lets more rows through but loses none. The ranking limits each group within every task before
+rows meet, so that a hot group whose scores are all tied is no hot spot either. The histogram is combined before it is shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from talweg.session import cut
 HOT_SHARE = 1000
 BINS_PER_E = 64
 CLASSES = 2
+SLOTS = 1 << 20
 
 
 def score_bin(score: Column) -> Column:
@@ -59,22 +62,16 @@ def top_n_per_group(df: DataFrame, group: str, score: str, key: str, n: int = 10
     )
     total = thresholds.agg(F.sum("_rows")).first()[0] or 0
     hot = thresholds.where(F.col("_rows") > F.lit(total / HOT_SHARE)).select(F.col("_g").alias("_hg"), F.col("_least").alias("_hot_least"))
-    cold = thresholds.where(F.col("_rows") <= F.lit(total / HOT_SHARE)).select(F.col("_g").alias("_cg"), "_least")
+    slot = F.pmod(F.xxhash64("_g"), F.lit(SLOTS)).cast("int")
+    cold = thresholds.where(F.col("_rows") <= F.lit(total / HOT_SHARE)).groupBy(slot.alias("_slot")).agg(F.min("_least").alias("_least"))
 
     order = [F.desc("_s"), *[F.asc(f"_t{i}") if up else F.desc(f"_t{i}") for i, (_, up) in enumerate(ties)], F.asc("_k")]
     ranked = Window.partitionBy("_g").orderBy(*order)
-
-    def best(part: DataFrame) -> DataFrame:
-        # Equal rows share a dense rank, so that repeats neither take places nor need a shuffle of their own.
-        part = part.withColumn("rank_no", F.dense_rank().over(ranked)).where(F.col("rank_no") <= n)
-        return part.dropDuplicates(["_g", "rank_no"])
-
-    from_hot = rows.join(F.broadcast(hot), F.col("_g") == F.col("_hg")).where("_bin >= _hot_least").drop("_hg", "_hot_least")
-    from_cold = (
-        rows.join(F.broadcast(hot.select("_hg")), F.col("_g") == F.col("_hg"), "left_anti")
-        .join(cold.hint("shuffle_hash"), F.col("_g") == F.col("_cg")).where("_bin >= _least").drop("_cg", "_least")
-    )
-    out = best(from_hot).unionByName(best(from_cold))
+    # at most 1000 and SLOTS rows
+    limits = rows.join(F.broadcast(hot), F.col("_g") == F.col("_hg"), "left").withColumn("_slot", slot).join(F.broadcast(cold), "_slot", "left")
+    over = limits.where(F.col("_bin") >= F.coalesce("_hot_least", "_least")).drop("_hg", "_hot_least", "_least", "_slot", "_bin")
+    # Equal rows share a dense rank, so that repeats neither take places nor need a shuffle of their own.
+    out = over.withColumn("rank_no", F.dense_rank().over(ranked)).where(F.col("rank_no") <= n).dropDuplicates(["_g", "rank_no"])
     return out.select(
         F.col("_g").alias(group), F.col("_k").alias(key), F.col("_s").alias("score"),
         *[F.col(f"_t{i}").alias(c) for i, c in enumerate(names)], "rank_no",
