@@ -35,7 +35,7 @@ def p3_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resume_texts(spark: SparkSession, sf_dir: str, basic: bool = True) -> DataFrame:
-    """Previews, raw blocks of work entries and, if wanted, of the basic part: resume_id, field_name, item_no, raw_text, own_name."""
+    """Previews, raw blocks of work entries and, if wanted, of the basic part (with candidate_id): resume_id, field_name, item_no, raw_text, own_name."""
     resumes = table(spark, sf_dir, "resumes").where("parsed is not null")
     parts = [("raw_text_preview", F.col("parsed.document_meta.raw_text_preview"))]
     if basic:
@@ -45,8 +45,9 @@ def resume_texts(spark: SparkSession, sf_dir: str, basic: bool = True) -> DataFr
         F.coalesce(F.col("parsed.layer_1_extracted.work_experience.raw_block"), F.array().cast("array<string>")),
         lambda t, i: F.struct(F.lit("work_raw_block").alias("field_name"), (i + 1).cast("int").alias("item_no"), t.alias("raw_text")),
     )
-    rows = resumes.select(F.col("id").alias("resume_id"), F.col("parsed.layer_1_extracted.basic.name").alias("own_name"), F.explode(F.concat(single, work)).alias("t"))
-    return rows.select("resume_id", "t.field_name", "t.item_no", "t.raw_text", "own_name").where("raw_text is not null and raw_text <> ''")
+    whom = ["candidate_id"] if basic else []
+    rows = resumes.select(*whom, F.col("id").alias("resume_id"), F.col("parsed.layer_1_extracted.basic.name").alias("own_name"), F.explode(F.concat(single, work)).alias("t"))
+    return rows.select("resume_id", *whom, "t.field_name", "t.item_no", "t.raw_text", "own_name").where("raw_text is not null and raw_text <> ''")
 
 
 def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +58,19 @@ def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of resumes with each type of personal data in them."""
-    spans = find_personal_data(resume_texts(spark, sf_dir), known_names(spark, sf_dir))
+    spans = find_personal_data(resume_texts(spark, sf_dir), known_names(spark, sf_dir), entity="candidate_id")
     return spans.select("resume_id", "field_name", "item_no", "pii_type").distinct()
 
 
 def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same texts with placeholders in place of the personal data."""
-    clean = redact(resume_texts(spark, sf_dir).distinct(), known_names(spark, sf_dir))
+    clean = redact(resume_texts(spark, sf_dir).distinct(), known_names(spark, sf_dir), entity="candidate_id")
+    return clean.select("resume_id", "field_name", "item_no", "clean_text")
+
+
+def p5_generalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and terms that disclose the candidate by ten bits or more (one in a thousand) generalised to [TERM] besides."""
+    clean = redact(resume_texts(spark, sf_dir).distinct(), known_names(spark, sf_dir), entity="candidate_id", least_bits=10.0)
     return clean.select("resume_id", "field_name", "item_no", "clean_text")
 
 
@@ -81,6 +88,6 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_repaired": p1_repaired,
-    "p3_found": p3_found, "p3_spellings": p3_spellings, "p5_found": p5_found, "p5_redacted": p5_redacted,
+    "p3_found": p3_found, "p3_spellings": p3_spellings, "p5_found": p5_found, "p5_redacted": p5_redacted, "p5_generalised": p5_generalised,
 }
 ORACLES: dict[str, str] = {}
