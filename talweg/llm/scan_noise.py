@@ -8,8 +8,9 @@ in a compressed table; everything else is SQL over it.
   on the hash, whatever the position; the variant is then verified letter by letter, and corrections are ranked by the variant's frequency.
   For ideographs the words are the two- and three-character contexts of confusable characters.
 * Hyphens: a divided word is joined if the corpus has the joined form more often than the hyphenated one.
-* Headers: a line shape (digits and the file's person masked, last characters) that recurs within texts is a
-  running header wherever it stands; edge lines are taken out. Page numbers are lines of their own form.
+* Headers: a running header recurs within texts. It is known by the whole line (digits and the file's person masked) or, where a part of it varies from
+  file to file, by its last word with the forms of the words before it; lines of another form stay whatever they end in.
+  Edge lines of the pages go wherever they stand in the text. Page numbers are lines of their own form.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.session import cut, spread
+from talweg.session import bounded, cut, spread
 
 # What a scan reads, and what stood there.
 LATIN_CONFUSIONS = (
@@ -38,7 +39,6 @@ HAN_CONFUSIONS = tuple(zip(
 HYPHENS = "-‐‑¬­"
 LEAST_SEEN = 5
 TIMES = 8
-HEADER_TAIL = 6
 # The forms of a page number on its own line.
 PAGE_NO = re.compile(
     r"^\s*(?:[-–—·•~*]\s*\d{1,3}\s*[-–—·•~*]|\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}|\d{1,3}\s*[/|]\s*\d{1,3}|第\s*\d{1,3}\s*页(?:\s*[,，/]?\s*共\s*\d{1,3}\s*页)?"
@@ -59,15 +59,25 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def line_shape(line: str, own: str) -> str | None:
-    """What running headers of one kind have in common; None for lines that cannot be one."""
+_FORMS = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+")
+
+
+def _form(part: str) -> str:
+    """The words of a part of a line by their form alone: ideographs, with a capital, without one."""
+    return _FORMS.sub(lambda m: "H" if m[0][0] > "⺀" else "A" if m[0][0].isupper() else "a", part)
+
+
+def line_shapes(line: str, own: str) -> tuple[str, ...]:
+    """What running headers of one kind have in common: the masked line, and its last word after the forms of the others. Empty for lines that cannot be one."""
     line = line.strip()
     if not 4 <= len(line) <= 60 or line[-1] in "。.；;，,、:：!！?？%" or BULLET.match(line) or PAGE_NO.match(line):
-        return None
-    if own:
-        line = line.replace(own, "N")
+        return ()
     line = re.sub(r"\d+", "9", line)
-    return line[-HEADER_TAIL:] if any(c.isalpha() for c in line) else None
+    if not any(c.isalpha() for c in line):
+        return ()
+    before, blank, last = line.rpartition(" ")
+    whole = line.replace(own, "N") if own else line
+    return (whole, f"{_form(before)} \0{last}") if blank and any(c.isalpha() for c in last) and len(last) > 2 else (whole,)
 
 
 def _contexts(text: str) -> set[str]:
@@ -86,8 +96,7 @@ def _contexts(text: str) -> set[str]:
 def without_noise_lines(lines: list[str], headers: set[int], own: str) -> list[str]:
     kept = []
     for line in lines:
-        shape = line_shape(line, own)
-        if not PAGE_NO.match(line) and not (shape and _hash(shape) in headers):
+        if not PAGE_NO.match(line) and not (headers and any(_hash(shape) in headers for shape in line_shapes(line, own))):
             kept.append(line)
     return kept
 
@@ -95,27 +104,29 @@ def without_noise_lines(lines: list[str], headers: set[int], own: str) -> list[s
 def facts_of(text: str, own: str) -> dict:
     """What one text tells: see :func:`text_facts`."""
     lines = text.replace("\r\n", "\n").split("\n")
-    shapes: Counter = Counter(s for s in (line_shape(x, own) for x in lines) if s)
     exact = Counter(x.strip() for x in lines if len(x.strip()) > 3)
-    twice = {line_shape(x, own) for x, n in exact.items() if n > 1}
+    of_line = {x: line_shapes(x, own) for x in exact}
+    shapes = {s for found in of_line.values() for s in found}
+    twice = {s for x, n in exact.items() if n > 1 for s in of_line[x]}
     plain = [x for x in lines if not PAGE_NO.match(x)]
     hyphens = []
-    # A header may stand between the halves of a word, so the next lines are tried in turn.
+    # Headers may stand between the halves of a word, so lines that may be one are passed over.
     for i, line in enumerate(plain):
         end = _LINE_END.search(line)
         if not end:
             continue
-        for step in (1, 2):
-            start = _LINE_START.match(plain[i + step]) if i + step < len(plain) else None
+        for step, then in enumerate(plain[i + 1 :], start=1):
+            start = _LINE_START.match(then)
             if start:
                 hyphens.append({"head": end[1], "mark": end[2], "tail": start[1], "step": step})
+            if start or (then.strip() and not of_line.get(then.strip())):
                 break
     body = "\n".join(lines)
     words = {m[0].lower() for m in _LATIN.finditer(re.sub(rf"[{HYPHENS}][ \t]*\n|\S*(?:@|://)\S*", " ", body))}
     words |= {m[0].lower() for m in _COMPOUND.finditer(body)}
     return {
-        "words": sorted(w for w in words if len(w) <= 40) + sorted(_contexts(body)), "numbers": sorted({m[0] for m in _NUMBER.finditer(body)}),
-        "shapes": sorted(_hash(s) for s in shapes), "twice": sorted(_hash(s) for s in twice if s), "hyphens": hyphens,
+        "words": sorted(words) + sorted(_contexts(body)), "numbers": sorted({m[0] for m in _NUMBER.finditer(body)}),
+        "shapes": sorted(_hash(s) for s in shapes), "twice": sorted(_hash(s) for s in twice), "hyphens": hyphens,
         "has_page": len(plain) < len(lines),
     }
 
@@ -148,7 +159,12 @@ def corrections(counts: DataFrame, confusions: tuple[tuple[str, str], ...]) -> D
     table = F.broadcast(spark.createDataFrame(list(confusions), "seen string, meant string").withColumn("shift", anagram_hash(F.col("meant")) - anagram_hash(F.col("seen"))))
     hashed = counts.withColumn("h", anagram_hash(F.col("word")))
     frequent = hashed.where(F.col("n") >= LEAST_SEEN).select(F.col("word").alias("variant"), F.col("n").alias("variant_n"), F.col("h").alias("vh"))
-    rare = hashed.join(table, F.col("word").contains(F.col("seen"))).withColumn("key", F.col("h") + F.col("shift"))
+    # The places of a word where a confusion may be seen meet the table by equality; words too frequent for any variant stay out.
+    lengths = sorted({len(seen) for seen, _ in confusions})
+    most = counts.agg(F.coalesce(F.max("n"), F.lit(0)) / TIMES).first()[0]
+    places = F.sequence(F.lit(1), F.length("word"))
+    pieces = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring("word", i, F.lit(k)) for k in lengths]))))
+    rare = hashed.where((F.col("n") <= most) & (F.length("word") > 0)).withColumn("seen", F.explode(pieces)).join(table, "seen").withColumn("key", F.col("h") + F.col("shift"))
     met = rare.join(frequent, F.col("key") == F.col("vh")).where(F.col("variant_n") >= F.col("n") * TIMES)
     word, seen, meant = F.col("word"), F.col("seen"), F.col("meant")
     places = F.sequence(F.lit(1), F.length(word) - F.length(seen) + 1)
@@ -158,32 +174,23 @@ def corrections(counts: DataFrame, confusions: tuple[tuple[str, str], ...]) -> D
     return ranked.select("word", "best.variant", "best.seen", "best.meant")
 
 
-def _bounded(small: DataFrame, most: int = 50_000) -> DataFrame:
-    """Broadcast behind a check of the size; beyond it the planner joins by shuffle."""
-    return F.broadcast(small) if small.count() <= most else small
-
-
 def find_noise(texts: DataFrame) -> dict[str, DataFrame]:
     """Evidence tables over ``texts``: facts, fixes (word, variant, seen, meant), headers (shape), joins (head, tail)."""
     facts = cut(text_facts(texts))
     counts = cut(facts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     latin = F.col("word").rlike("^[a-z0-9]+$")
     fixes = cut(
-        corrections(counts.where(latin & (F.length("word") > 3)), LATIN_CONFUSIONS)
+        corrections(counts.where(latin & (F.length("word") > 1)), LATIN_CONFUSIONS)
         .unionByName(corrections(counts.where(~F.col("word").rlike("^[a-z0-9-]+$")), HAN_CONFUSIONS))
     )
     shape_counts = facts.select(F.explode("shapes").alias("shape")).groupBy("shape").agg(F.count("*").alias("n"))
-    repeated = facts.select("resume_id", F.explode("twice").alias("shape")).groupBy("shape").agg(F.count("*").alias("k"), F.approx_count_distinct("resume_id").alias("files"))
-    headers = cut(repeated.where("files >= 2").join(shape_counts, "shape").where("k >= 0.04 * n").select("shape"))
+    repeated = facts.select("resume_id", F.explode("twice").alias("shape")).groupBy("shape").agg(F.count("*").alias("k"), (F.min("resume_id") < F.max("resume_id")).alias("in_files"))
+    headers = cut(repeated.where("in_files").join(shape_counts, "shape").where("k >= 0.04 * n").select("shape"))
     divided = facts.select(F.explode("hyphens").alias("h")).select("h.head", "h.tail", "h.mark").distinct()
-    whole = F.lower(F.concat("head", "tail"))
-    dashed = F.lower(F.concat_ws("-", "head", "tail"))
-    seen = counts.select("word", "n")
-    asked = divided.withColumn("whole", whole).withColumn("dashed", dashed)
-    for name, at in (("whole_n", "whole"), ("dashed_n", "dashed"), ("head_n", F.lower("head")), ("tail_n", F.lower("tail"))):
-        on = F.col(at) if isinstance(at, str) else at
-        asked = asked.join(seen.withColumnsRenamed({"word": f"{name}_w", "n": name}), on == F.col(f"{name}_w"), "left").drop(f"{name}_w")
-    asked = asked.fillna(0, ["whole_n", "dashed_n", "head_n", "tail_n"])
+    # The four counts of a divided word are asked for at once.
+    asked = divided.select("*", F.posexplode(F.array(F.lower(F.concat("head", "tail")), F.lower(F.concat_ws("-", "head", "tail")), F.lower("head"), F.lower("tail"))).alias("which", "word"))
+    asked = asked.join(counts.select("word", "n"), "word", "left").groupBy("head", "tail", "mark").agg(
+        *[F.coalesce(F.max(F.when(F.col("which") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(("whole_n", "dashed_n", "head_n", "tail_n"))])
     always = F.col("mark").isin("¬", "­")
     known = F.col("whole_n") > F.col("dashed_n")
     unknown = (F.col("whole_n") == 0) & (F.col("dashed_n") == 0) & ~((F.col("head_n") >= LEAST_SEEN) & (F.col("tail_n") >= LEAST_SEEN))
@@ -195,10 +202,10 @@ def noise_kinds(found: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """One row per text and kind of damage: the keys and noise_kind."""
     facts = found["facts"]
     page = facts.where("has_page").select(*keys, F.lit("page_no").alias("noise_kind"))
-    header = facts.select(*keys, F.explode("shapes").alias("shape")).join(_bounded(found["headers"]), "shape", "left_semi").select(*keys, F.lit("header").alias("noise_kind"))
+    header = facts.select(*keys, F.explode("shapes").alias("shape")).join(bounded(found["headers"]), "shape", "left_semi").select(*keys, F.lit("header").alias("noise_kind"))
     divided = facts.select(*keys, F.explode("hyphens").alias("h")).select(*keys, "h.head", "h.tail", "h.mark")
-    hyphen = divided.join(_bounded(found["joins"]), ["head", "tail", "mark"], "left_semi").select(*keys, F.lit("hyphen").alias("noise_kind"))
-    words = facts.select(*keys, F.explode("words").alias("word")).join(_bounded(found["fixes"].select("word")), "word", "left_semi")
+    hyphen = divided.join(bounded(found["joins"]), ["head", "tail", "mark"], "left_semi").select(*keys, F.lit("hyphen").alias("noise_kind"))
+    words = facts.select(*keys, F.explode("words").alias("word")).join(bounded(found["fixes"].select("word")), "word", "left_semi")
     digits = facts.where(F.size("numbers") > 0)
     misread = words.select(*keys).unionByName(digits.select(*keys)).withColumn("noise_kind", F.lit("misread"))
     return page.unionByName(header).unionByName(hyphen).unionByName(misread).distinct()
@@ -252,9 +259,9 @@ def repair(texts: DataFrame) -> DataFrame:
     keys = [c for c in texts.columns if c not in ("raw_text", "own_name")]
     found = find_noise(texts)
     facts = found["facts"]
-    fixes = facts.select(*keys, F.explode("words").alias("word")).join(_bounded(found["fixes"]), "word").groupBy(*keys).agg(F.collect_set(F.struct("word", "variant", "seen", "meant")).alias("fixes"))
-    headers = facts.select(*keys, F.explode("shapes").alias("shape")).join(_bounded(found["headers"]), "shape", "left_semi").groupBy(*keys).agg(F.collect_set("shape").alias("headers"))
-    joins = facts.select(*keys, F.explode("hyphens").alias("h")).select(*keys, "h.head", "h.tail", "h.mark").join(_bounded(found["joins"]), ["head", "tail", "mark"], "left_semi")
+    fixes = facts.select(*keys, F.explode("words").alias("word")).join(bounded(found["fixes"]), "word").groupBy(*keys).agg(F.collect_set(F.struct("word", "variant", "seen", "meant")).alias("fixes"))
+    headers = facts.select(*keys, F.explode("shapes").alias("shape")).join(bounded(found["headers"]), "shape", "left_semi").groupBy(*keys).agg(F.collect_set("shape").alias("headers"))
+    joins = facts.select(*keys, F.explode("hyphens").alias("h")).select(*keys, "h.head", "h.tail", "h.mark").join(bounded(found["joins"]), ["head", "tail", "mark"], "left_semi")
     joins = joins.groupBy(*keys).agg(F.collect_set(F.struct("head", "tail")).alias("joins"))
 
     @F.pandas_udf("string")

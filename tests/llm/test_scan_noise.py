@@ -1,6 +1,6 @@
 import pytest
 
-from talweg.llm.scan_noise import HAN_CONFUSIONS, LATIN_CONFUSIONS, PAGE_NO, corrections, facts_of, find_noise, line_shape, noise_kinds, repair
+from talweg.llm.scan_noise import HAN_CONFUSIONS, LATIN_CONFUSIONS, PAGE_NO, corrections, facts_of, find_noise, line_shapes, noise_kinds, repair
 
 
 @pytest.mark.parametrize("line", ["p. 1/5", "1 | 4", "第9页", "第 9 页 共 9 页", "页码:1", "- 3 -", "· 2 ·", "7", "2/3", "Pg 4", "Page 2 of 9", "[3]"])
@@ -14,9 +14,9 @@ def test_no_page_numbers(line):
 
 
 def test_corrections_by_anagram_hash(spark):
-    words = [("service", 90), ("5ervice", 2), ("scrvice", 1), ("requests", 50), ("reqiiests", 2), ("srnall", 1), ("small", 40), ("rare", 2), ("rarc", 1), ("listen", 80), ("silent", 1), ("common", 60), ("cornmon", 55)]
+    words = [("service", 90), ("5ervice", 2), ("scrvice", 1), ("requests", 50), ("reqiiests", 2), ("srnall", 1), ("small", 40), ("rare", 2), ("rarc", 1), ("listen", 80), ("silent", 1), ("common", 60), ("cornmon", 55), ("the", 900), ("fhe", 1)]
     got = {r["word"]: r["variant"] for r in corrections(spark.createDataFrame(words, "word string, n bigint"), LATIN_CONFUSIONS).collect()}
-    assert got == {"5ervice": "service", "scrvice": "service", "reqiiests": "requests", "srnall": "small"}  # an anagram is no variant, and a frequent word no misreading
+    assert got == {"5ervice": "service", "scrvice": "service", "reqiiests": "requests", "srnall": "small", "fhe": "the"}  # an anagram is no variant, and a frequent word no misreading
     grams = [("性的", 900), ("性旳", 3), ("人小", 50), ("入小", 1), ("返エ率", 2), ("返工率", 70)]
     got = {r["word"]: r["variant"] for r in corrections(spark.createDataFrame(grams, "word string, n bigint"), HAN_CONFUSIONS).collect()}
     assert got == {"性旳": "性的", "返エ率": "返工率"}
@@ -27,7 +27,16 @@ def test_facts():
     f = facts_of("The packag-\ning work\n3\nmoderat- \nDervoave Systems - recruitment copy\nion gate", "")
     assert [(h["head"], h["tail"]) for h in f["hyphens"]] == [("packag", "ing"), ("moderat", "ion")] and f["has_page"]
     assert facts_of("历时l0个月 版本 v1l https://x/1l", "")["numbers"] == ["l0"]
-    assert line_shape("• item", "") is None and line_shape("方舟晴 个人简历", "方舟晴") == "N 个人简历"[-6:]
+    assert "pneumonoultramicroscopicsilicovolcanoconioses" in facts_of("a pneumonoultramicroscopicsilicovolcanoconioses b", "")["words"]
+    two = facts_of("The loc-\nSome Header Here\n3\nAnother Header Here\nalised work", "")["hyphens"]
+    assert [(h["head"], h["tail"]) for h in two] == [("loc", "alised")]
+
+
+def test_shapes_of_lines():
+    assert line_shapes("• item", "") == () and line_shapes("方舟晴 个人简历", "方舟晴")[0] == "N 个人简历"
+    shared = lambda a, b: set(line_shapes(a, "")) & set(line_shapes(b, ""))
+    assert shared("方舟晴 个人简历", "简初辰 个人简历") and shared("Brais Cloat | Resume", "Лучана Ожегран | Resume")
+    assert not shared("Acme Corp confidential resume", "I maintained my own resume") and not shared("Acme Corp confidential", "was kept confidential")
 
 
 def corpus():
