@@ -2,8 +2,9 @@
 
 A rolling hash over the last ``WINDOW`` characters marks landmarks; each landmark snaps to the nearest natural boundary
 (paragraph, line, sentence, then clause or blank). Candidate cuts thus depend on nearby text alone, so an edit moves only
-the cuts next to it. From one cut the next is the first candidate between the minimum and the maximum size; without one,
-the last natural boundary in reach; without that, the last place that does not part a combining mark from its letter.
+the cuts next to it. From one cut the next is, of the candidates between the minimum and the maximum size, the one whose rolling hash is
+least: a choice by content, on which two runs agree again as soon as they see the same stretch. Without a candidate it is the natural boundary
+of least hash; without that, the place of least hash that does not part a combining mark from its letter.
 Consecutive pieces overlap by exactly ``overlap`` characters, and a piece with its overlap is never over the limit.
 """
 
@@ -30,19 +31,26 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def landmarks(text: str) -> np.ndarray:
-    """Positions whose rolling hash over the preceding window is a landmark."""
+def rolled(text: str) -> np.ndarray:
+    """The rolling hash over the ``WINDOW`` characters before each place from WINDOW to the text's end; one number for all places before that."""
     codes = _codes(text).astype(np.uint64)
     n = len(codes)
-    if n <= WINDOW:
-        return np.empty(0, dtype=np.int64)
     mixed = (codes + np.uint64(0x2545F491)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(n - WINDOW + 1, dtype=np.uint64)
-    for k in range(WINDOW):
-        rolled += mixed[k : n - WINDOW + 1 + k] * _MULTIPLIERS[k]
-    rolled ^= rolled >> np.uint64(32)
-    return np.nonzero(rolled % np.uint64(LANDMARK_EVERY) == 0)[0] + WINDOW
+    out = np.full(n + 1, np.iinfo(np.uint64).max, dtype=np.uint64)
+    if n >= WINDOW:
+        total = np.zeros(n - WINDOW + 1, dtype=np.uint64)
+        for k in range(WINDOW):
+            total += mixed[k : n - WINDOW + 1 + k] * _MULTIPLIERS[k]
+        total ^= total >> np.uint64(32)
+        out[WINDOW:] = total * np.uint64(0x9E3779B97F4A7C15)
+        out[WINDOW:] ^= out[WINDOW:] >> np.uint64(29)
+    return out
+
+
+def landmarks(text: str) -> np.ndarray:
+    """Places whose rolling hash is a landmark."""
+    return WINDOW + np.nonzero(rolled(text)[WINDOW:] % np.uint64(LANDMARK_EVERY) == 0)[0]
 
 
 def _nearest(sorted_at: np.ndarray, x: int) -> int | None:
@@ -70,6 +78,8 @@ def cuts(text: str, max_size: int, overlap: int) -> list[int]:
                 break
     candidates = np.array(sorted(snapped), dtype=np.int64)
     strong_set = set(strong.tolist())
+    best = np.array([c for c in candidates.tolist() if c in strong_set], dtype=np.int64)
+    value = rolled(text)
     out = [0]
     while n - out[-1] > (max_size if len(out) == 1 else reach):
         at = out[-1]
@@ -77,17 +87,14 @@ def cuts(text: str, max_size: int, overlap: int) -> list[int]:
         most = at + (max_size if len(out) == 1 else reach)
         # nor may it end before there is a whole overlap for the second one
         lo = at + (max(least, overlap) if len(out) == 1 else least)
-        inside = candidates[np.searchsorted(candidates, lo) : np.searchsorted(candidates, most, "right")]
-        good = [c for c in inside.tolist() if c in strong_set]
-        cut_at = good[0] if good else None
-        for points in (strong, inside, weak):
-            if cut_at is not None:
-                break
+        cut_at = None
+        for points in (best, strong, candidates, weak):
             near = points[np.searchsorted(points, lo) : np.searchsorted(points, most, "right")]
             if len(near):
-                cut_at = int(near[-1])
+                cut_at = int(near[np.argmin(value[near])])
+                break
         if cut_at is None:
-            cut_at = most
+            cut_at = lo + int(np.argmin(value[lo : most + 1]))
             while cut_at > lo and unicodedata.combining(text[cut_at]):
                 cut_at -= 1
         out.append(cut_at)

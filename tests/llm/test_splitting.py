@@ -39,6 +39,21 @@ def test_edit_moves_only_near_cuts():
     assert len(later & after) >= 0.8 * len(later)
 
 
+def test_single_insertions_move_at_most_two_later_cuts():
+    words = random.Random(8)
+    many = far = 0
+    for _ in range(20):
+        text = "".join("".join(words.choice("abcdefghij") for _ in range(words.randint(2, 9))) + words.choice([" "] * 6 + [". ", ", ", "\n"]) for _ in range(4000))
+        before = cuts(text, 1800, 150)
+        for _ in range(5):
+            at = words.randrange(len(text))
+            after = cuts(text[:at] + "xyz " + text[at:], 1800, 150)
+            kept = {c + (4 if c > at else 0) for c in before}
+            many += 1
+            far += len([c for c in after if c > at and c not in kept]) > 2
+    assert far <= 0.02 * many
+
+
 def test_landmarks_need_a_window():
     assert len(landmarks("short")) == 0
 
