@@ -1,9 +1,10 @@
 """Mapping free-entered values to the closest entry of a reference list by a prefix-filter set-similarity join.
 
-Distinct values and the entries' labels become sets of q-gram tokens (letters and letter pairs with their occurrence
-numbers, over the folded text with stated decorations removed). Tokens are ordered by global rarity; values and labels
-meet only over the rare prefix that two sets of the needed Jaccard similarity must share; the length filter and the
-positional filter thin the meetings; Jaccard is then computed exactly and the best label of each value is kept.
+Distinct values and the entries' labels become sets of q-gram tokens (letters and letter pairs with their occurrence numbers, over the folded text
+with stated decorations removed). A token weighs by its rarity, ln(1 + sets / sets that have it), so that what all schools have in common
+says little and what one has says much. Tokens are ordered by global rarity; values and labels meet only over the rare prefix that two sets of
+the needed Jaccard similarity must share; the length filter and the positional filter thin the meetings; weighted Jaccard is then
+computed exactly and alone decides, and the best label of each value is kept. Every value takes this way, equal and short ones too.
 Values are joined, never rows, so a value that a third of the rows repeat is compared once.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,22 +26,23 @@ from talweg.session import cut
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """What may be taken off or rewritten before two strings of one kind are compared; ``aliases`` maps spellings to a label."""
+    """What may be taken off or rewritten before two strings of one kind are compared; ``aliases`` are exact spellings of a label."""
 
     strip: tuple[str, ...] = ()
     rewrite: tuple[tuple[str, str], ...] = ()
     aliases: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    exact_up_to: int = 3
-    _compiled: list = field(default_factory=list, compare=False)
+    #: Weighted Jaccard similarity that a value and a label need.
+    least: float = 0.5
 
 
 # How skill levels, campuses, faculties and degrees are written around or instead of the value itself.
 SKILLS = Vocabulary(
     strip=(
         r"^(?:精通|熟练掌握|熟练使用|熟练|熟悉|擅长|掌握|了解|proficient in|experienced in|skilled in|familiar with|expert in|knowledge of)[\s:]*",
-        r"\s*\([^()]*\)\s*$", r"\s*/\s*实战$", r"(?<=.)(?:经验|能力|技能)$",
+        r"\s*\([^()]*\)\s*$", r"(?<=.)(?:经验|能力|技能)$",
         r"\s*[,\-/|]+\s*(?:beginner|basic|intermediate|advanced|expert|fluent|native)\s*$", r"\s+\d+\+?\s*(?:yrs?|years?)\.?$",
     ),
+    least=0.4,
 )
 SCHOOLS = Vocabulary(
     strip=(
@@ -49,9 +51,7 @@ SCHOOLS = Vocabulary(
     ),
     rewrite=(
         (r"\buniv\b\.?|\bu\.(?=\s|$)", "university"), (r"\bi\.\s?t\.(?=\s|$)", "institute technology"), (r"\binst\b\.?", "institute"), (r"\btech\b\.?", "technology"), (r"\bmed\b\.?|\bmedicine\b", "medical"),
-        (r"\bcoll\b\.?", "college"), (r"\bnorm\b\.?", "normal"), (r"\b(?:of|the)\b", " "), (r"大雪$", "大学"), (r"(?<=[㐀-鿿]{2})大$", "大学"),
-        (r"^college\s+medical[\s,]+(.+)$", r"\1 medical college"), (r"^technology institute\s+(.+)$", r"\1 institute technology"),
-        (r"^normal university\s+(.+)$", r"\1 normal university"), (r"^university\s+(.+)$", r"\1 university"),
+        (r"\bcoll\b\.?", "college"), (r"\bnorm\b\.?", "normal"), (r"\b(?:of|the)\b", " "),
     ),
 )
 DEGREES = Vocabulary(
@@ -69,6 +69,8 @@ DEGREES = Vocabulary(
 )
 VOCABULARIES = {"skill": SKILLS, "school": SCHOOLS, "degree": DEGREES}
 
+#: What sums of weights in another order may differ by.
+SLACK = 1e-6
 _SPACED_HAN = re.compile(r"(?<=[㐀-鿿])\s+(?=[㐀-鿿])")
 _SINGLE_SPACED = re.compile(r"^(?:\S\s)+\S$")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
@@ -100,7 +102,9 @@ def compare_key(value: str, vocabulary: Vocabulary = Vocabulary()) -> str:
 
 
 def tokens(key: str) -> list[str]:
-    """Letters and letter pairs, each with its occurrence number, so that a set stands for the multiset."""
+    """Letters and letter pairs, each with its occurrence number, so that a set stands for the multiset. An alias is one token."""
+    if key.startswith("="):
+        return [key]
     padded = "^" + key + "$"
     grams = [*key, *(padded[i : i + 2] for i in range(len(padded) - 1))] if key else []
     seen: Counter = Counter()
@@ -122,43 +126,51 @@ def _tokenised(values: DataFrame, vocabularies: dict[str, Vocabulary]) -> DataFr
     return values.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in values.dtypes) + ", compare_key string, tokens array<string>")
 
 
-def similarity_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs (left.id, right.id, jaccard) of at least ``least`` within one ``kind``; both sides: id, kind, tokens (array of distinct strings)."""
-    both = left.select("kind", F.explode("tokens").alias("t")).unionAll(right.select("kind", F.explode("tokens").alias("t")))
-    rarity = both.groupBy("kind", "t").agg(F.count("*").alias("df"))
+def similarity_join(left: DataFrame, right: DataFrame, least: float | dict[str, float]) -> DataFrame:
+    """Pairs (kind, left_id, right_id, jaccard) of weighted Jaccard similarity at least ``least`` within one ``kind``.
+
+    Both sides: id, kind, tokens (array of distinct strings). ``least`` may differ by kind (0.5 for kinds not named). Sets without tokens meet none.
+    """
+    both = left.select("kind", "tokens").unionAll(right.select("kind", "tokens"))
+    sets = both.groupBy("kind").agg(F.count("*").alias("sets"))
+    rarity = both.select("kind", F.explode("tokens").alias("t")).groupBy("kind", "t").agg(F.count("*").alias("df"))
+    rarity = rarity.join(F.broadcast(sets), "kind").select("kind", "t", "df", F.log(1 + F.col("sets") / F.col("df")).alias("w"))  # one row a kind
+    needs = least if isinstance(least, dict) else {}
+    need = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in needs.items()], F.lit(0.5 if needs or isinstance(least, dict) else float(least)))
 
     def ordered(side: DataFrame) -> DataFrame:
         counted = side.select("id", "kind", F.explode("tokens").alias("t")).join(rarity, ["kind", "t"])
-        sets = counted.groupBy("id", "kind").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("s"))
-        return cut(sets.select("id", "kind", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("n")))
+        earlier = Window.partitionBy("id", "kind").orderBy("df", "t").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn("before", F.coalesce(F.sum("w").over(earlier), F.lit(0.0)))
+        return cut(counted.groupBy("id", "kind").agg(F.collect_list(F.struct("t", "w", "before")).alias("s"), F.sum("w").alias("total")))
 
     def prefixes(side: DataFrame) -> DataFrame:
-        keep = F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1
-        return side.select("id", "kind", "n", F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("p", "t"))
+        """The tokens before which at most so much weight has passed that the rest can still reach the needed share of the whole."""
+        seen = side.select("id", "kind", "total", F.explode("s").alias("x")).select("id", "kind", "total", "x.before", "x.t")
+        return seen.where(F.col("total") - F.col("before") >= need * F.col("total") - SLACK)
 
     mine, theirs = ordered(left), ordered(right)
-    a, b = prefixes(mine).alias("a"), prefixes(theirs).alias("b")
-    needed = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(least / (1 + least)))
-    met = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.t") == F.col("b.t"))).where(
-        (F.col("a.n") >= F.col("b.n") * F.lit(least)) & (F.col("b.n") >= F.col("a.n") * F.lit(least))
-        & (1 + F.least(F.col("a.n") - F.col("a.p") - 1, F.col("b.n") - F.col("b.p") - 1) >= needed - F.least("a.p", "b.p"))
-    )
+    a, b = prefixes(mine).alias("a"), prefixes(theirs).withColumnRenamed("kind", "k2").alias("b")
+    wa, wb = F.col("a.total"), F.col("b.total")
+    most = F.least("a.before", "b.before") + F.least(wa - F.col("a.before"), wb - F.col("b.before"))
+    met = a.join(b, (F.col("kind") == F.col("k2")) & (F.col("a.t") == F.col("b.t"))).where(
+        (wa >= wb * need - SLACK) & (wb >= wa * need - SLACK) & (most >= (wa + wb) * need / (1 + need) - SLACK))
     # Only ids go through the distinct; the sets are fetched for the pairs that are left.
-    pairs = met.select(F.col("a.kind").alias("kind"), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
-    whole = pairs.join(mine.select("kind", F.col("id").alias("left_id"), "s"), ["kind", "left_id"]).join(theirs.select("kind", F.col("id").alias("right_id"), F.col("s").alias("z")), ["kind", "right_id"])
-    compared = whole.select("left_id", "right_id", F.size(F.array_intersect("s", "z")).alias("common"), (F.size("s") + F.size("z")).alias("both"))
-    return compared.select("left_id", "right_id", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    pairs = met.select("kind", F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    whole = pairs.join(mine.select("kind", F.col("id").alias("left_id"), "s", F.col("total").alias("wa")), ["kind", "left_id"])
+    whole = whole.join(theirs.select("kind", F.col("id").alias("right_id"), F.col("s").alias("z"), F.col("total").alias("wb")), ["kind", "right_id"])
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["t"].alias("t"), x["w"].alias("w")))
+    compared = whole.withColumn("common", F.aggregate(F.array_intersect(bare("s"), bare("z")), F.lit(0.0), lambda a, x: a + x["w"]))
+    similar = compared.select("kind", "left_id", "right_id", F.round(F.col("common") / (F.col("wa") + F.col("wb") - F.col("common")), 9).alias("jaccard"))
+    return similar.where(F.col("jaccard") >= need)
 
 
-def map_values(
-    values: DataFrame, entries: DataFrame, least: float = 0.45, sure: float = 0.95, vocabularies: dict[str, Vocabulary] | None = None
-) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, vocabularies: dict[str, Vocabulary] | None = None) -> DataFrame:
     """The entry meant by each distinct (kind, value): columns kind, value, ref_id (0: the list has none), jaccard, compare_key.
 
-    ``entries``: ref_id, ref_kind, label_text, alt_labels. A pair under ``sure`` counts only if the edit distance of the two
-    keys confirms it (one edit, two from nine characters, or two letters in the wrong order); keys of up to ``exact_up_to`` characters must be equal. Ties
-    go to the higher similarity, the smaller distance, then the smaller ref_id. Null and blank values give no row; very
-    long values are compared whole; repeated values count once; an empty list gives 0 for every value.
+    ``entries``: ref_id, ref_kind, label_text, alt_labels. The best label of at least the similarity that the kind's vocabulary states is meant;
+    ties go to the smaller ref_id. Null and blank values give no row; very long values are compared whole; repeated values
+    count once; an empty list gives 0 for every value.
     """
     vocabularies = VOCABULARIES if vocabularies is None else vocabularies
     aliases = [(kind, label, spelling) for kind, v in vocabularies.items() for label, spellings in v.aliases for spelling in spellings]
@@ -174,23 +186,12 @@ def map_values(
     distinct = values.select("kind", "value").where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\s\p{Z}]*$")).distinct()
     keyed = cut(_tokenised(distinct, vocabularies).drop("tokens"))
     # Many spellings share one key; only distinct keys enter the join.
-    keys = keyed.where("compare_key <> ''").select("kind", "compare_key").distinct().withColumn("id", F.concat_ws("\u0001", "kind", "compare_key"))
-    equal = keys.join(right.select("kind", "compare_key", "ref_id"), ["kind", "compare_key"]).groupBy("kind", "compare_key").agg(F.min("ref_id").alias("ref_id"))
-    shortest = max((v.exact_up_to for v in vocabularies.values()), default=3)
-    open_keys = keys.join(equal, ["kind", "compare_key"], "left_anti").where((F.length("compare_key") > shortest) & ~F.col("compare_key").startswith("="))
-    left = _key_tokens(open_keys)
-    fuzzy = similarity_join(left, right.where((F.length("compare_key") > shortest) & ~F.col("compare_key").startswith("=")).select("id", "kind", "tokens"), least)
-    k = F.col("compare_key")
-    near = fuzzy.select(
-        F.element_at(F.split("left_id", "\u0001"), 1).alias("kind"), F.element_at(F.split("left_id", "\u0001"), 2).alias("compare_key"),
-        F.element_at(F.split("right_id", "\u0001"), 1).cast("int").alias("ref_id"), F.element_at(F.split("right_id", "\u0001"), 2).alias("ref_key"), "jaccard",
-    ).withColumn("edits", F.levenshtein(k, F.col("ref_key")))
-    allowed = F.when(F.length(k) < 9, 1).otherwise(2)
-    swapped = (F.col("edits") == 2) & (F.array_sort(F.split(k, "")) == F.array_sort(F.split(F.col("ref_key"), "")))
-    near = near.where((F.col("jaccard") >= sure) | (F.col("edits") <= allowed) | swapped)
-    by = Window.partitionBy("kind", "compare_key").orderBy(F.desc("jaccard"), F.asc("edits"), F.asc("ref_id"))
-    best = near.withColumn("r", F.row_number().over(by)).where("r = 1").select("kind", "compare_key", "ref_id", "jaccard")
-    answers = equal.withColumn("jaccard", F.lit(1.0)).unionByName(best)
+    keys = keyed.where("compare_key <> ''").select("kind", "compare_key").distinct().withColumn("id", F.col("compare_key"))
+    found = similarity_join(_key_tokens(keys), right.select("id", "kind", "tokens"), {kind: v.least for kind, v in vocabularies.items()})
+    ref = F.element_at(F.split("right_id", "\u0001"), 1).cast("int")
+    # the best label, then the smaller ref_id, in an aggregate that is combined before it is shuffled
+    best = found.groupBy("kind", F.col("left_id").alias("compare_key")).agg(F.max(F.struct("jaccard", (-ref).alias("r"))).alias("m"))
+    answers = best.select("kind", "compare_key", (-F.col("m.r")).alias("ref_id"), "m.jaccard")
     return keyed.join(answers, ["kind", "compare_key"], "left").select("kind", "value", F.coalesce("ref_id", F.lit(0)).alias("ref_id"), "jaccard", "compare_key")
 
 
@@ -201,7 +202,7 @@ def _key_tokens(keys: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.length("compare_key") + 1), lambda i: F.substring(padded, i, F.lit(2)))
     grams = F.concat(chars, pairs)
     numbered = bound(grams, lambda all_: F.transform(all_, lambda g, i: F.concat(g, F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda h: h == g)).cast("string"))))
-    return keys.select("id", "kind", numbered.alias("tokens"))
+    return keys.select("id", "kind", F.when(F.col("compare_key").startswith("="), F.array("compare_key")).otherwise(numbered).alias("tokens"))
 
 
 def map_rows(rows: DataFrame, entries: DataFrame, keys: Sequence[str], **how) -> DataFrame:
