@@ -1,14 +1,14 @@
 """Rules that turn résumé text into the nested layer-1 record.
 
-Line-oriented parsing is no relational work, so one Arrow pass over the texts does it; its vocabulary is a table of section titles
-and field labels. What follows (date normalisation, ordering, tiers, binding to a candidate) is column expressions.
+A batch of texts becomes one table of lines. Columns say what each line is: its section (the last title carried forward), whether it
+begins an entry, and, as a running count of such lines, which entry it belongs to; entries and fields are aggregates over that table. Its vocabulary
+is a table of section titles and field labels. What follows (date normalisation, ordering, tiers, binding to a candidate) is column expressions.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,18 +41,20 @@ DIRECTIONS: dict[str, tuple[str, ...]] = {
     "测试": ("测试", "pytest", "junit", "自动化测试", "接口测试", "性能测试", "selenium"),
     "运维": ("运维", "devops", "docker", "kubernetes", "k8s", "linux", "ci/cd", "jenkins"),
 }
-_TITLES = [(section, part, re.compile(rf"(?:{titles})\s*[:：]?", re.IGNORECASE)) for section, part, titles in SECTION_TITLES]
-_FOOTER = re.compile(r"(?:\d+|第\s*\d+\s*页|page\s*\d+\s*/\s*\d+)", re.IGNORECASE)
-_MARK = re.compile(r"[•·\-*]|\d+[.、）)]")
-_EMAIL = re.compile(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
-_PHONE = re.compile(r"1[3-9]\d{9}|\+?86\s*-?\s*1[3-9]\d{9}|\(\d{3}\)\s*\d{3}-?\d{4}|\d{3}[-.\s]?\d{3}[-.\s]?\d{4}")
-_LINK = re.compile(r"https?://\S+|www\.\S+|github\.com/\S+", re.IGNORECASE)
-_PERSON = re.compile(r"[一-龥a-zA-Z\s·]{2,30}")
-_DEGREE = re.compile(r"本科以上|本科|硕士|研究生|博士|大专|专科|学士|B\.?S\.?|M\.?S\.?|Ph\.?D\.?|Bachelor|Master|Doctor", re.IGNORECASE)
-_SCHOOL = re.compile(r"大学|学院|学校|University|College", re.IGNORECASE)
-_YEARS = re.compile(r"(\d{4})\s*[-–—.年]\s*(\d{4}|至今)")
-_PERIOD = re.compile(r"(\d{4})\s*(?:[-–—.]\s*)?(?:(?<=[-–—.\s])(\d{4})|(至今))")
-_YEAR_START = re.compile(r"\d{4}\s*[-–—.]")
+# How degrees, schools, spans of years, telephone numbers and links are written.
+DEGREE_WORDS = ("本科", "硕士", "研究生", "博士", "大专", "专科", "学士", "本科以上", r"B\.?S\.?", r"M\.?S\.?", r"Ph\.?D\.?", "Bachelor", "Master", "Doctor")
+SCHOOL_WORDS = ("大学", "学院", "学校", "University", "College")
+SCHOOL_WORDS_IN_LINES = ("大学", "学院", "University")
+YEARS = r"(\d{4})\s*[-–—.年]\s*(\d{4}|至今)"
+YEAR_START = r"\d{4}\s*[-–—.]"
+PERIODS = (r"\d{4}\s*[-–—.]\s*\d{4}", r"\d{4}\s*[-–—.]\s*至今", r"\d{4}\s*至今")
+EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PHONES = (r"1[3-9]\d{9}", r"\+?86\s*[-]?\s*1[3-9]\d{9}", r"\(\d{3}\)\s*\d{3}[-]?\d{4}", r"\d{3}[-.\s]?\d{3}[-.\s]?\d{4}")
+LINKS = (r"https?://[^\s]+", r"(?:www\.)[^\s]+", r"github\.com/[^\s]+")
+PERSON = r"[\u4e00-\u9fa5a-zA-Z\s·]{2,30}"
+FOOTERS = (r"\d+", r"第\s*\d+\s*页", r"page\s*\d+\s*/\s*\d+")
+ITEM_MARKS = (r"[•·\-\*]\s*", r"\d+[\.、）)]\s*")
+LANGUAGE_WORDS = ("CET", "TEM", "IELTS", "TOEFL", "日语", "英语", "English")
 LABELS = {"location": "现居|居住地|地址", "target_role": "求职意向|期望职位|意向岗位"}
 
 LAYER1 = (
@@ -64,154 +66,156 @@ LAYER1 = (
 )
 
 
-@dataclass
-class Sections:
-    """Lines of each section, parts of the additional one, and warnings."""
+def _any_of(words: tuple[str, ...]) -> str:
+    return f"(?:{'|'.join(words)})"
 
-    lines: dict[str, list[str]] = field(default_factory=dict)
-    parts: dict[str, list[str]] = field(default_factory=dict)
-    warnings: list[str] = field(default_factory=list)
 
-    def text(self, name: str) -> str:
-        return "\n".join(self.lines.get(name, []))
+_TITLE = "|".join(titles for _, _, titles in SECTION_TITLES)
+_I = re.IGNORECASE
 
 
-def title_of(line: str) -> tuple[str, str | None] | None:
-    """(section, part) if the line is a title."""
-    line = line.strip()
-    return next(((section, part) for section, part, pattern in _TITLES if pattern.fullmatch(line)), None)
+def _first(texts: pd.Series, pattern: str, flags: int = 0) -> pd.Series:
+    """The first match in each text, or an empty string."""
+    return texts.str.extract(f"({pattern})", flags=flags)[0].fillna("")
 
 
-def sections(text: str) -> Sections:
-    """Divides a text: titles switch the section, further titles inside the additional one switch its part only.
+def line_table(texts: pd.Series) -> pd.DataFrame:
+    """One row a line: doc (place of the text), line, bare, named (section that the line is a title of), title, section, part.
 
     A title is a short line that is no list item; after 30 lines it needs a blank line next to it.
     """
-    out = Sections()
-    if not text:
-        out.warnings.append("empty_text")
-        return out
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    current, part, switched = "basic", None, False
-    for i, line in enumerate(lines):
-        bare = line.strip()
-        lonely = i == 0 or i + 1 == len(lines) or not lines[i - 1].strip() or not lines[i + 1].strip()
-        possible = bare and len(bare) <= 40 and not _MARK.match(bare) and not _FOOTER.fullmatch(bare) and (i < 30 or lonely)
-        title = title_of(bare) if possible else None
-        if title:
-            section, part_name = title
-            if section == "additional":
-                part = part_name
-            if not (section == current == "basic"):
-                current = section
-            switched = switched or section != "basic"
-        out.lines.setdefault(current, []).append(line)
-        if current == "additional" and part and not title:
-            out.parts.setdefault(part, []).append(line)
-    if not switched:
-        out.warnings.append("no_section_headers_detected")
-    return out
-
-
-def basic_fields(text: str) -> dict:
-    def labelled(label: str) -> str:
-        m = re.search(rf"(?:{label})[:：]\s*([^\n]+)", text)
-        return m[1].strip()[:120] if m else ""
-
-    email, phone = _EMAIL.search(text), _PHONE.search(text)
-    name = ""
-    for line in [x.strip() for x in text.splitlines() if x.strip()][:8]:
-        if not _EMAIL.search(line) and not _PHONE.search(line) and _PERSON.fullmatch(line):
-            name = line
-            break
-    links = [m[0].rstrip(").,;，。") for m in _LINK.finditer(text)][:8]
-    return {
-        "name": name, "phone": phone[0].strip() if phone else "", "email": email[0] if email else "", "location": labelled(LABELS["location"]), "birth_text": "",
-        "target_role": labelled(LABELS["target_role"]), "links": links, "raw_block": text,
-    }
-
-
-def _groups(lines: list[str], starts) -> list[list[str]]:
-    """Consecutive lines, a new group at each line that ``starts`` accepts."""
-    out: list[list[str]] = []
-    for line in lines:
-        if not out or (starts(line) and any(x.strip() for x in out[-1])):
-            out.append([])
-        out[-1].append(line)
-    return [g for g in out if any(x.strip() for x in g)]
-
-
-def education_entries(text: str, most: int = 12) -> list[dict]:
-    text = "\n".join(x for x in text.splitlines() if (title_of(x) or ("",))[0] != "education")
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n+", text) if p.strip()]
-    groups = _groups(paragraphs, lambda p: bool(_DEGREE.search(p[:40]) or _YEAR_START.match(p) or _SCHOOL.search(p)))
-    blocks = ["\n".join(g) for g in groups]
-    if len(blocks) == 1 and "\n" in blocks[0]:
-        lines = [x for x in blocks[0].splitlines() if x.strip()]
-        blocks = ["\n".join(g) for g in _groups(lines, lambda x: bool(_YEAR_START.match(x.strip()) or (_DEGREE.search(x[:30]) and _SCHOOL.search(x))))]
-    out = []
-    for block in blocks[:most]:
-        lines = [x.strip() for x in block.splitlines() if x.strip()]
-        school = next((x for x in lines if _SCHOOL.search(x)), lines[0] if lines else "")
-        degree, years = _DEGREE.search(block), _YEARS.search(block)
-        out.append({"school": school[:200], "degree": degree[0] if degree else "", "major": "", "start": years[1] if years else "", "end": years[2] if years else "", "raw_block": block})
-    return out
-
-
-def _items(lines: list[str]) -> list[str]:
-    marked = [x.strip() for x in lines if _MARK.match(x.strip())]
-    return [re.sub(r"^[•·\-*\d.、）)]\s*", "", x)[:500] for x in marked]
-
-
-def dated_entries(text: str, section: str, most: int = 20) -> list[dict]:
-    """Entries of a work or project section; a line that begins with a span of years starts one."""
-    lines = [x for x in text.splitlines() if (title_of(x) or ("",))[0] != section]
-    out = []
-    for group in _groups(lines, lambda x: bool(_PERIOD.match(x.strip()))):
-        head, block = group[0].strip(), "\n".join(group).strip()
-        period = _PERIOD.match(head)
-        rest = head[period.end() :] if period else ""
-        if period and rest[:1].isspace() and rest.strip():
-            who, _, role = (re.sub(r"\s{2,}|\t+|　+", "\x00", rest.strip(), count=1)).partition("\x00")
-            start, end = period[1], period[2] or period[3]
-        else:
-            who, role, start, end = head, "", "", ""
-        row = {"start": start, "end": end, "descriptions": _items(group[1:]), "raw_block": block}
-        if section == "work_experience":
-            row |= {"company": who[:120], "job_role": role[:120], "job_type": "internship" if re.search(r"实习|internship", block, re.IGNORECASE) else "fulltime"}
-        else:
-            row |= {"project_name": who[:120], "role": role[:120]}
-        out.append(row)
-    return out[:most]
-
-
-def additional_fields(found: Sections) -> tuple[list[str], dict]:
-    """(skills, the additional record)."""
-    skills = []
-    for line in found.parts.get("skills", []):
-        body = re.split(r"[:：]", line.strip(), maxsplit=1)[-1]
-        skills += [p for p in re.split(r"[,，、;；/\s|]+", body) if len(p) >= 2]
-    languages = []
-    for line in (x.strip() for x in found.parts.get("languages", [])):
-        pair = re.match(r"(.{1,40}?)[：:]\s*(.+)$", line)
-        if pair:
-            languages.append(pair[1].strip())
-        elif re.search(r"CET|TEM|IELTS|TOEFL|日语|英语|English", line, re.IGNORECASE):
-            languages.append(line[:40])
-    named = {k: [x.strip()[:120] for x in found.parts.get(k, []) if x.strip()][:30] for k in ("certificates", "awards")}
-    about = "\n".join(x.strip() for x in found.parts.get("self_evaluation", []) if x.strip())
-    return skills[:50], {"languages": languages[:20], **named, "self_evaluation": about, "raw_block": found.text("additional")}
+    whole = texts.fillna("").str.replace("\r\n", "\n", regex=False).str.replace("\r", "\n", regex=False).reset_index(drop=True)
+    t = whole.str.split("\n").rename("line").rename_axis("doc").explode().reset_index()
+    t["bare"] = t["line"].str.strip()
+    filled = (t["bare"] != "").astype("int8")
+    between = filled.groupby(t["doc"]).shift(1, fill_value=0) + filled.groupby(t["doc"]).shift(-1, fill_value=0) == 2
+    # few lines are titles of anything; the first rule of theirs says of what
+    titles = t.loc[t["bare"].str.fullmatch(rf"(?:{_TITLE})\s*[:：]?", flags=_I), "bare"]
+    rule = pd.Series(-1, index=titles.index)
+    for n in reversed(range(len(SECTION_TITLES))):
+        rule[titles.str.fullmatch(rf"(?:{SECTION_TITLES[n][2]})\s*[:：]?", flags=_I)] = n
+    t["named"] = rule.map(lambda n: SECTION_TITLES[n][0]).reindex(t.index)
+    short = (t["bare"].str.len() <= 40) & ~t["bare"].str.match(_any_of(ITEM_MARKS)) & ~t["bare"].str.fullmatch(_any_of(FOOTERS), flags=_I)
+    t["title"] = t["named"].where(short & ((t.groupby("doc").cumcount() < 30) | ~between))
+    part = rule.map(lambda n: SECTION_TITLES[n][1]).reindex(t.index).where(t["title"] == "additional")
+    t["section"] = t.groupby("doc")["title"].ffill().fillna("basic")
+    t["part"] = part.groupby(t["doc"]).ffill()
+    return t
+
+
+def _blocks(lines: pd.DataFrame, starts: pd.Series, text: str = "line") -> pd.DataFrame:
+    """doc, entry, block, head: the lines of each entry joined, and its first one; an entry begins at each line of ``starts``."""
+    numbered = lines.assign(entry=starts.astype(int).groupby(lines["doc"]).cumsum())
+    out = numbered.groupby(["doc", "entry"], sort=True)[text].agg(block="\n".join, head="first").reset_index()
+    return out[out["block"].str.strip() != ""]
+
+
+def _per_doc(entries: pd.DataFrame, names: list[str], most: int) -> pd.Series:
+    """The records of each doc, in order, as a list."""
+    kept = entries[entries.groupby("doc").cumcount() < most]
+    return pd.Series(kept[names].to_dict("records"), index=kept["doc"], dtype=object).groupby(level=0).agg(list)
+
+
+def education_entries(t: pd.DataFrame) -> pd.Series:
+    """Records by doc. Paragraphs that name a degree, a school or begin with a year begin an entry; in a lone paragraph, lines do."""
+    degree, school = _any_of(DEGREE_WORDS), _any_of(SCHOOL_WORDS)
+    lines = t[(t["section"] == "education") & (t["named"] != "education")]
+    filled = lines["bare"] != ""
+    paragraph = (filled & ~filled.groupby(lines["doc"]).shift(1, fill_value=False)).groupby(lines["doc"]).cumsum()
+    paragraphs = lines[filled].assign(paragraph=paragraph).groupby(["doc", "paragraph"], sort=True)["line"].agg("\n".join).str.strip().rename("line").reset_index()
+    p = paragraphs["line"]
+    blocks = _blocks(paragraphs, p.str[:40].str.contains(degree, flags=_I) | p.str.match(YEAR_START) | p.str.contains(school, flags=_I))
+    lone = (blocks.groupby("doc")["block"].transform("size") == 1) & blocks["block"].str.contains("\n", regex=False)
+    inner = blocks.loc[lone, ["doc", "block"]].assign(line=lambda d: d["block"].str.split("\n")).explode("line", ignore_index=True)
+    inner = inner[inner["line"].str.strip() != ""] if len(inner) else inner.assign(line="")
+    x = inner["line"].astype(str)
+    begins = x.str.strip().str.match(YEAR_START) | (x.str[:30].str.contains(degree, flags=_I) & x.str.contains(_any_of(SCHOOL_WORDS_IN_LINES), flags=_I))
+    out = pd.concat([blocks[~lone], _blocks(inner, begins)]).sort_values(["doc", "entry"], kind="stable").reset_index(drop=True)
+    each = out["block"].str.split("\n").explode().str.strip()
+    each = each[each != ""]
+    named = each[each.str.contains(school, flags=_I)].groupby(level=0).first()
+    years = out["block"].str.extract(YEARS)
+    out = out.assign(
+        school=named.reindex(out.index).fillna(each.groupby(level=0).first()).fillna("").str[:200], degree=_first(out["block"], degree, _I), major="", start=years[0].fillna(""), end=years[1].fillna(""), raw_block=out["block"])
+    return _per_doc(out, ["school", "degree", "major", "start", "end", "raw_block"], 12)
+
+
+def dated_entries(t: pd.DataFrame, section: str) -> pd.Series:
+    """Records by doc of a work or project section; a line that begins with a span of years begins one."""
+    period = _any_of(PERIODS)
+    lines = t[(t["section"] == section) & (t["named"] != section)]
+    out = _blocks(lines, lines["bare"].str.match(period)).reset_index(drop=True)
+    head = out["head"].str.strip()
+    dated = head.str.extract(rf"^({period})\s+(.+)$")
+    has = dated[0].notna()
+    span = dated[0].fillna("").str.extract(r"(\d{4}).*?(\d{4}|至今)").fillna("")
+    who = dated[1].where(has, head).str.strip()
+    each = out["block"].str.split("\n").str[1:].explode().fillna("").str.strip()
+    items = each[each.str.match(_any_of(ITEM_MARKS))].str.replace(r"^[•·\-\*\d\.、）)]\s*", "", regex=True).str[:500].groupby(level=0).agg(list).reindex(out.index)
+    out = out.assign(start=span[0], end=span[1], descriptions=[x if isinstance(x, list) else [] for x in items], raw_block=out["block"].str.strip())
+    if section == "work_experience":
+        cut_at = who.str.split(r"\s{2,}|\t+|　+", n=1, regex=True)
+        out = out.assign(
+            company=cut_at.str[0].where(has, who).str[:120], job_role=cut_at.str[1].where(has).fillna("").str[:120],
+            job_type=out["block"].str.contains("实习|internship", flags=_I).map({True: "internship", False: "fulltime"}))
+        return _per_doc(out, ["company", "job_role", "job_type", "start", "end", "descriptions", "raw_block"], 20)
+    out = out.assign(project_name=who.str[:120], role="")
+    return _per_doc(out, ["project_name", "role", "start", "end", "descriptions", "raw_block"], 20)
+
+
+def basic_fields(t: pd.DataFrame, docs: pd.RangeIndex) -> pd.Series:
+    """The basic record of each doc."""
+    lines = t[t["section"] == "basic"]
+    text = lines.groupby("doc")["line"].agg("\n".join).reindex(docs).fillna("")
+    early = lines[lines["bare"] != ""]
+    early = early[early.groupby("doc").cumcount() < 8]
+    bare = early["bare"]
+    name = early[bare.str.fullmatch(PERSON) & ~bare.str.contains(EMAIL) & ~bare.str.contains(_any_of(PHONES))].groupby("doc")["bare"].first().reindex(docs).fillna("")
+    labelled = {k: text.str.extract(rf"(?:{words})[:：]\s*([^\n]+)")[0].fillna("").str.strip().str[:120] for k, words in LABELS.items()}
+    links = text.str.findall(_any_of(LINKS), flags=_I).map(lambda found: [x.rstrip(").,;，。") for x in found][:8])
+    frame = pd.DataFrame({
+        "name": name, "phone": _first(text, _any_of(PHONES)).str.strip(), "email": _first(text, EMAIL), "location": labelled["location"], "birth_text": "", "target_role": labelled["target_role"],
+        "links": links, "raw_block": text})
+    return pd.Series(frame.to_dict("records"), index=docs)
+
+
+def additional_fields(t: pd.DataFrame, docs: pd.RangeIndex) -> tuple[pd.Series, pd.Series]:
+    """(skills, the additional record) of each doc."""
+    def listed(rows: pd.Series, most: int) -> pd.Series:
+        kept = rows[rows.groupby(level=0).cumcount() < most].groupby(level=0).agg(list).reindex(docs)
+        return kept.map(lambda x: x if isinstance(x, list) else [])
+
+    inside = t[t["section"] == "additional"]
+    told = inside[inside["title"].isna() & (inside["bare"] != "")].set_index("doc")
+    of = {part: told.loc[told["part"] == part, "bare"] for part in ("skills", "languages", "certificates", "awards", "self_evaluation")}
+    # what follows the first colon of either form, and then the first of the other one
+    skills = of["skills"].str.split("：", n=1).str[-1].str.split(":", n=1).str[-1].str.split(r"[,，、;；/\s|]+", regex=True).explode().dropna()
+    spoken = of["languages"]
+    pair = spoken.str.extract(r"^(.{1,40}?)[：:]\s*.+$")[0].str.strip()
+    spoken = pair.fillna(spoken.where(spoken.str.contains(_any_of(LANGUAGE_WORDS), flags=_I)).str[:40]).dropna()
+    about = of["self_evaluation"].groupby(level=0).agg("\n".join).reindex(docs).fillna("")
+    block = inside.groupby("doc")["line"].agg("\n".join).reindex(docs).fillna("")
+    record = pd.DataFrame({
+        "languages": listed(spoken, 20), "certificates": listed(of["certificates"].str[:120], 30), "awards": listed(of["awards"].str[:120], 30), "self_evaluation": about, "raw_block": block})
+    return listed(skills[skills.str.len() >= 2], 50), pd.Series(record.to_dict("records"), index=docs)
+
+
+def parse_texts(texts: pd.Series) -> tuple[list[dict], list[list[str]]]:
+    """(layer-1 records, warnings) of the texts."""
+    t, docs = line_table(texts), pd.RangeIndex(len(texts))
+    skills, additional = additional_fields(t, docs)
+    entries = {"education": education_entries(t), "work_experience": dated_entries(t, "work_experience"), "projects": dated_entries(t, "projects")}
+    record = pd.DataFrame({"basic": basic_fields(t, docs), **{k: v.reindex(docs).map(lambda x: x if isinstance(x, list) else []) for k, v in entries.items()}, "skills": skills, "additional": additional}, index=docs)
+    switched = t["title"].notna() & (t["title"] != "basic")
+    switched = switched.groupby(t["doc"]).any()
+    warnings = [["empty_text"] if not text else [] if switched[i] else ["no_section_headers_detected"] for i, text in enumerate(texts.fillna(""))]
+    return record.to_dict("records"), warnings
 
 
 def parse_text(text: str | None) -> tuple[dict, list[str]]:
     """(layer-1 record, warnings) of one text."""
-    found = sections(text or "")
-    skills, additional = additional_fields(found)
-    layer1 = {
-        "basic": basic_fields(found.text("basic")), "education": education_entries(found.text("education")), "work_experience": dated_entries(found.text("work_experience"), "work_experience"),
-        "projects": dated_entries(found.text("projects"), "projects"), "skills": skills, "additional": additional,
-    }
-    return layer1, found.warnings
+    records, warnings = parse_texts(pd.Series([text], dtype=object))
+    return records[0], warnings[0]
 
 
 def parse_documents(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -220,11 +224,12 @@ def parse_documents(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parsed = [parse_text(t) for t in b[text]]
-            yield pd.DataFrame({
-                key: b[key], "layer1": [p[0] for p in parsed], "warnings": [p[1] for p in parsed], "parse_status": ["partial" if p[1] else "success" for p in parsed],
-                "preview": [(t or "")[:800] for t in b[text]],
-            })
+            # an Arrow batch of long texts is a large table of lines, so it is taken in parts of some megabytes
+            part = b[text].str.len().fillna(0).cumsum() // 4_000_000
+            for _, rows in b.groupby(part, sort=True):
+                records, warnings = parse_texts(rows[text])
+                yield pd.DataFrame({
+                    key: rows[key].to_numpy(), "layer1": records, "warnings": warnings, "parse_status": ["partial" if w else "success" for w in warnings], "preview": rows[text].fillna("").str[:800].to_numpy()})
 
     return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {kind}, layer1 {LAYER1}, warnings array<string>, parse_status string, preview string")
 

@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from talweg.operators.model_answers import keep_grounded, layer1_of_answer, no_provider, readable, routed, shape_error
-from talweg.operators.resume_parse import candidate_record, dated_entries, education_entries, normal_blocks, parse_documents, parse_text, sections
+from talweg.operators.resume_parse import candidate_record, normal_blocks, parse_documents, parse_text
 from talweg.sources.files import office_text, page_text, pages_of, read_files, recognised_texts, word_list
 from talweg.streaming.queue import changed_entities, handled, run_queue, task_stream
 
@@ -44,8 +44,20 @@ def test_sections_and_entries():
     assert [(x["company"], x["job_role"], x["job_type"], x["end"]) for x in w] == [("甲公司", "工程师", "fulltime", "至今"), ("乙公司（实习）", "", "internship", "2022")]
     assert w[0]["descriptions"] == ["用 Kafka 做了很多事情", "另一件事"]
     assert layer1["skills"] == ["Java", "Go", "数据库"] and layer1["additional"]["languages"] == ["英语"]
-    assert sections("").warnings == ["empty_text"] and sections("x\ny").warnings == ["no_section_headers_detected"]
-    assert education_entries("") == [] and dated_entries("", "work_experience") == []
+    assert parse_text("")[1] == ["empty_text"] and parse_text("x\ny")[1] == ["no_section_headers_detected"]
+    assert parse_text("")[0]["education"] == [] and parse_text(None)[0]["work_experience"] == []
+
+
+def test_fixed_forms():
+    """Alternatives are tried in the order stated; a span of years needs a dash or dot; only University and its like begin an entry within a paragraph."""
+    text = "教育背景\n北方大学 本科以上\n\n工作经历\n\n2020-2021 Acme\n2020 2021 Other Co\n- built it\n2019至今 Third  Lead\n\n项目经历\n2018.2019 Search  engine\n技能\na：b:sql, go\n"
+    layer1, _ = parse_text(text)
+    assert [e["degree"] for e in layer1["education"]] == ["本科"]
+    work = layer1["work_experience"]
+    assert [(w["company"], w["job_role"], w["start"], w["end"]) for w in work] == [("Acme", "", "2020", "2021"), ("Third", "Lead", "2019", "至今")] and work[0]["descriptions"] == ["built it"]
+    assert [(p["project_name"], p["role"]) for p in layer1["projects"]] == [("Search  engine", "")] and layer1["skills"] == ["sql", "go"]
+    one = parse_text("教育背景\n2019-2020 A College\nB College 硕士\nC University 博士")[0]["education"]
+    assert [e["raw_block"].split("\n")[0] for e in one] == ["2019-2020 A College", "C University 博士"]
 
 
 def test_documents_and_binding(spark):
