@@ -10,7 +10,8 @@ from functools import lru_cache
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухԁԛԝһѵ", "ABESIJKMHOPCTYXYGQWaesijopcyxdqwhv", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιαρ", "ABEZHIKMNOPTYXoviap", strict=True))
 ARMENIAN = dict(zip("ՍՏՕսոօհցզԼ", "USOunohgqL", strict=True))
-LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | {"ı": "i", "ɡ": "g", "ɑ": "a", "ℓ": "l"}
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᎽᏃ", "ABCDEGHJKLMPRSTVWYZ", strict=True))
+LOOKALIKE = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | {"ı": "i", "ɡ": "g", "ɑ": "a", "ℓ": "l"}
 # Kana that look like an ideograph.
 KANA_LOOKALIKE = dict(zip("カエニロハタトオチセミヌヒリ", "力工二口八夕卜才千七三又匕刂", strict=True))
 # CJK radicals without a decomposition of their own, and the ideographs that look the same.
@@ -38,7 +39,7 @@ def script(c: str) -> str:
     return unicodedata.name(c, "?").split(" ")[0].split("-")[0]
 
 
-_OTHER_SCRIPTS = {"CYRILLIC", "GREEK", "ARMENIAN"}
+_OTHER_SCRIPTS = {"CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE"}
 
 
 def genuine_scripts(text: str) -> set[str]:
@@ -77,9 +78,25 @@ def plain_letters(text: str, genuine: set[str] | None = None) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=65536)
+def looks_otherwise(c: str) -> bool:
+    """True of raised, lowered, circled, squared letters and digits and of fractions: their compatibility form does not look the same."""
+    return unicodedata.decomposition(c).startswith(("<super>", "<sub>", "<circle>", "<square>", "<fraction>"))
+
+
 def settled(text: str) -> str:
     """Everything of the plain form but the replacement of look-alike letters."""
-    return unicodedata.normalize("NFKC", text.translate(_SINGLE))
+    plain = text.translate(_SINGLE)
+    if not any(looks_otherwise(c) for c in plain):
+        return unicodedata.normalize("NFKC", plain)
+    out, part = [], ""
+    for c in plain:
+        if looks_otherwise(c):
+            out += [unicodedata.normalize("NFKC", part), c]
+            part = ""
+        else:
+            part += c
+    return unicodedata.normalize("NFC", "".join([*out, unicodedata.normalize("NFKC", part)]))
 
 
 def plain_form(text: str, genuine: set[str] | None = None) -> str:

@@ -10,3 +10,10 @@ def test_forms():
     assert plain_form("Русский язык") == "Русский язык"
     assert plain_form("日本語 N2") == "日本語 N2"
     assert fold(" Deep  LEARNING ") == "deep learning"
+    assert plain_form("Ꭺpple") == "Apple" and plain_form("ᎣᏏᏲ") == "ᎣᏏᏲ"
+
+
+def test_what_looks_otherwise_stays():
+    for text in ("C²", "x½", "①组", "H₂O", "㎡ 測", "Node™"):
+        assert plain_form(text) == text
+    assert plain_form("Ｃ² ｅ́") == "C² é"
