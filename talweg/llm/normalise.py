@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.functions.charfold import BLANKS, DASHES, INVISIBLE, KANA_LOOKALIKE, LOOKALIKE, RADICALS, genuine_scripts, plain_form, settled
+from talweg.functions.charfold import BLANKS, DASHES, INVISIBLE, KANA_LOOKALIKE, LOOKALIKE, RADICALS, genuine_scripts, looks_otherwise, plain_form, settled
 
 # Blocks in which every character is stable, as a Java and Python character class: ASCII, the composed Latin letters
 # that are NFC and NFKC quick-check Yes, the unified ideographs, and CJK punctuation that has no decomposition.
@@ -32,7 +32,7 @@ def may_be_unstable(text: Column) -> Column:
 
 
 def _unstable(c: str) -> bool:
-    return c in _OTHER or unicodedata.combining(c) != 0 or not unicodedata.is_normalized("NFKC", c)
+    return c in _OTHER or unicodedata.combining(c) != 0 or not (looks_otherwise(c) or unicodedata.is_normalized("NFKC", c))
 
 
 def segments(text: str) -> list[tuple[int, int]]:

@@ -178,16 +178,23 @@ def _of_texts(texts: list[str]):
     return anchors(codes, offsets)
 
 
+def _common(x: str, y: str) -> int:
+    """Length of the common beginning, by halving whole slices."""
+    low, high = 0, min(len(x), len(y))
+    if x[:high] == y[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 def _reach(x: str, i: int, y: str, j: int) -> tuple[int, int]:
     """How far two texts agree to the left of places i, j, and to the right."""
-    left = 0
-    most = min(i, j)
-    while left < most and x[i - 1 - left] == y[j - 1 - left]:
-        left += 1
-    right, most = 0, min(len(x) - i, len(y) - j)
-    while right < most and x[i + right] == y[j + right]:
-        right += 1
-    return left, right
+    return _common(x[:i][::-1], y[:j][::-1]), _common(x[i:], y[j:])
 
 
 _SPANS = "doc_id_a bigint, doc_id_b bigint, start_a int, start_b int, span_chars int"

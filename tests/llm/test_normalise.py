@@ -47,3 +47,9 @@ def test_columns(spark):
     found = changed_values(df.drop("plain_text"))
     assert [(r["id"], r["plain_text"]) for r in found.collect()] == [("3", "C++")] * 2
     assert normalise_column(df.limit(0), "value").count() == changed_values(df.drop("plain_text").limit(0)).count() == 0
+
+
+def test_what_looks_otherwise_is_no_case(spark):
+    rows = [("C²",), ("x½",), ("①组",), ("Ꭺpple",), ("Ｃ²",)]
+    got = {r["value"]: r["plain_text"] for r in changed_values(spark.createDataFrame(rows, "value string")).collect()}
+    assert got == {"Ꭺpple": "Apple", "Ｃ²": "C²"}
