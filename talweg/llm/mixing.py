@@ -51,7 +51,8 @@ def _certain_seats(seats: int, weights: Sequence[float], caps: Sequence[int]) ->
     for _ in range(100):
         middle = (low + high) / 2
         low, high = (low, middle) if over(middle).sum() <= seats else (middle, high)
-    return [int(x) for x in over(high)]
+    # a little over the divisor, so that ties at it are left to the heap
+    return [int(x) for x in over(high * (1 + 1e-9))]
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:

@@ -95,10 +95,11 @@ def test_sainte_lague():
     assert mixing.sainte_lague(10, [6, 3, 1]) == [6, 3, 1]
     assert mixing.sainte_lague(7, [53, 24, 23]) == [3, 2, 2]
     assert mixing.sainte_lague(10, [6, 3, 1], [2, 99, 99]) == [2, 6, 2]
+    assert mixing.sainte_lague(12, [2, 2, 6], [2, 3, 8]) == [2, 3, 7]
     assert mixing.sainte_lague(10, [1, 1], [3, 3]) == [3, 3] and mixing.sainte_lague(5, []) == [] and mixing.sainte_lague(4, [0, 1]) == [0, 4]
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 12)), max_size=9), st.integers(0, 60))
 def test_seats_go_to_the_highest_quotients(parties, seats):
     """Against giving one seat after the other."""
