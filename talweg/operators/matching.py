@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from talweg.config import Settings
 from talweg.functions.lexicons import offered_terms, required_terms
 from talweg.functions.nfkc import nfkc, nfkc_each
-from talweg.functions.text import blank, degree_rank, strip, tokens
+from talweg.functions.text import blank, degree_rank, shared_terms, snippet, strip, tokens
 from talweg.functions.vectors import band_score, cosine, hash_vectors, rounded
 from talweg.operators.chunks import SEMANTIC_CHARS, candidate_chunks, job_chunks
-from talweg.operators.retrieval import bm25, delivery, fuse, weighted_sum
+from talweg.operators.retrieval import best_per_query, bm25, delivery, fuse, weighted_sum
 from talweg.session import cut, dealt
 
 Provider = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -151,6 +151,37 @@ def semantic_scores(pairs: DataFrame, job_side: DataFrame, candidate_side: DataF
         F.coalesce("delivery_score", F.lit(0.0)).alias("delivery_score"), score.alias("semantic_score"), F.when(F.col("indexed"), "available").otherwise("not_indexed").alias("semantic_status"))
 
 
+def alignment_rows(pairs: DataFrame, job_side: DataFrame, candidate_side: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The best experience of each duty of every pair, with the kinds of both, the beginnings of their texts and up to twelve terms these share."""
+    best = best_per_query(delivery_pairs(pairs, job_side, candidate_side, settings), score="rrf" if settings.hybrid else "cosine")
+    parts = F.split("group_id", r"\|")
+    number = _order(F.col("profile_type"))
+    duties = job_side.where("block in ('resp', 'jd_raw')").select(F.col("entity_id").alias("job_id"), number.alias("j"), F.col("profile_type").alias("job_profile_type"), snippet(F.col("semantic_text")).alias("job_text_snippet"))
+    done = candidate_side.where("block in ('project', 'work')").select(F.col("entity_id").alias("candidate_id"), number.alias("d"), F.col("profile_type").alias("cand_profile_type"), snippet(F.col("semantic_text")).alias("cand_text_snippet"))
+    out = best.withColumn("job_id", parts[0]).withColumn("candidate_id", parts[1]).join(duties, ["job_id", "j"]).join(done, ["candidate_id", "d"])
+    return out.withColumn("shared_terms", shared_terms(F.col("job_text_snippet"), F.col("cand_text_snippet")))
+
+
+def best_alignment(alignments: DataFrame) -> DataFrame:
+    """The best row of each pair: by fused score, then cosine, both as they are shown, then the earlier duty."""
+    order = Window.partitionBy("group_id").orderBy(F.desc(F.round("rrf", 8)), F.desc(F.round("cosine", 6)), F.asc("j"))
+    return alignments.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
+def evidence(pairs: DataFrame, job_side: DataFrame, candidate_side: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Texts that speak for a pair: job_id, candidate_id, source_type (skill, role, delivery), text, similarity; empty texts are none."""
+    columns = ["job_id", "candidate_id", "source_type", "text", "similarity"]
+
+    def axis(name: str, mine: str, theirs: str) -> DataFrame:
+        a = job_side.where(F.col("profile_type") == mine).select(F.col("entity_id").alias("job_id"), F.col("vector").alias("a"))
+        b = candidate_side.where(F.col("profile_type") == theirs).select(F.col("entity_id").alias("candidate_id"), F.col("vector").alias("b"), F.col("semantic_text").alias("text"))
+        return pairs.join(a, "job_id").join(b, "candidate_id").select("job_id", "candidate_id", F.lit(name).alias("source_type"), "text", F.round(cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+    delivered = best_alignment(alignment_rows(pairs, job_side, candidate_side, settings))
+    delivered = delivered.select("job_id", "candidate_id", F.lit("delivery").alias("source_type"), F.col("cand_text_snippet").alias("text"), F.round("cosine", 6).alias("similarity"))
+    return axis("skill", "skill", "skill").unionByName(axis("role", "role", "cand_role")).unionByName(delivered).where("text <> ''").select(*columns)
+
+
 def quality_score(impact: Column, evidence: Column, risk: Column) -> Column:
     """Quality from a model's three marks of 0 to 100; a missing mark counts 0."""
     def clip(c: Column) -> Column:

@@ -11,7 +11,7 @@ from talweg.functions import text as x
 from talweg.functions.lexicons import SKILL_ALIASES, alias_pairs, offered_terms
 from talweg.functions.vectors import band_score, cosine, experience_score, hash_bucket
 from talweg.operators.chunks import candidate_chunks, embedding_plan, job_chunks
-from talweg.operators.matching import degree_gate, delivery_pairs, gate_counts, score_pool, score_sides, semantic_scores, skill_scores
+from talweg.operators.matching import alignment_rows, degree_gate, delivery_pairs, evidence, gate_counts, score_pool, score_sides, semantic_scores, skill_scores
 from talweg.operators.retrieval import best_per_query, bm25, delivery
 from talweg.session import spread, table
 
@@ -172,6 +172,17 @@ def pool_semantic_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _semantic(spark, sf_dir, _pool(spark, sf_dir))
 
 
+def alignment_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best experience for each duty of the pairs asked for again, with what both say and share."""
+    rows = alignment_rows(*_sides(spark, sf_dir, _pairs(spark, sf_dir)))
+    return rows.select("group_id", "j", "job_profile_type", "cand_profile_type", "job_text_snippet", "cand_text_snippet", F.array_join("shared_terms", "|").alias("shared_terms"))
+
+
+def evidence_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that speak for each of these pairs."""
+    return evidence(*_sides(spark, sf_dir, _pairs(spark, sf_dir)))
+
+
 def pool_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every job's pool through gate, scores and rank."""
     scored = score_pool(_pool(spark, sf_dir), _once(spark, sf_dir, "jobs"), _once(spark, sf_dir, "candidates"), table(spark, sf_dir, "resumes"))
@@ -182,6 +193,7 @@ QUERIES = {
     "content_hashes": content_hashes, "language_detect": language_detect, "year_months": year_months, "tokenize_docs": tokenize_docs, "bm25_scores": bm25_scores, "cosine_bands": cosine_bands,
     "hash_buckets": hash_buckets, "job_chunk_rows": job_chunk_rows, "candidate_chunk_rows": candidate_chunk_rows, "content_hash_diff": content_hash_diff, "degree_gates": degree_gates,
     "skill_overlap": skill_overlap, "skill_lexicon_match": skill_lexicon_match, "rrf_alignments": rrf_alignments, "delivery_scores": delivery_scores, "semantic_scoring": semantic_scoring,
+    "alignment_evidence": alignment_evidence, "evidence_snippets": evidence_snippets,
     "pool_degree_gates": pool_degree_gates, "pool_skill_overlap": pool_skill_overlap, "pool_rrf_alignments": pool_rrf_alignments, "pool_delivery_scores": pool_delivery_scores,
     "pool_semantic_scoring": pool_semantic_scoring, "pool_matches": pool_matches, "pool_gate_counts": pool_gate_counts,
 }
@@ -254,6 +266,10 @@ def _tokens(c: str) -> str:
     return f"flatten(list_transform({found}, lambda t: CASE WHEN regexp_matches(t, '^[{_HAN}]') AND length(t) > 2 THEN list_transform(generate_series(1, length(t) - 1), lambda i: substring(t, i, 2)) ELSE [lower(t)] END))"
 
 
+def _snippet(c: str) -> str:
+    return f"CASE WHEN length({c}) > 320 THEN substring({c}, 1, 320) || '…' ELSE {c} END"
+
+
 def _bucket(c: str, dim: int) -> str:
     out = "0"
     for i in range(4):
@@ -362,6 +378,15 @@ ORACLES = {
             (SELECT count(*) FROM named n JOIN named o ON o.term = n.term AND o.side = 'o' AND o.id = a.candidate_id WHERE n.side = 'r' AND n.id = a.job_id) AS nm FROM a)
         SELECT job_id, candidate_id, CASE WHEN nr > 0 AND no > 0 THEN CAST(printf('%.1f', 100.0 * nm / nr) AS DOUBLE) ELSE 0.0 END AS skill_score, CASE WHEN nr = 0 THEN 'no_job_skills' WHEN no = 0 THEN 'no_candidate_skills' ELSE 'available' END AS status, coalesce(matched, '') AS matched FROM s""",
     "rrf_alignments": f"WITH {_JOB_CHUNKS}, {_CAND_CHUNKS}, {_WEIGHTS} SELECT group_id, j, d, round(cosine, 6) AS cosine, round(bm25, 6) AS bm25, CAST(rank_cos AS INTEGER) AS rank_cos, CAST(rank_bm25 AS INTEGER) AS rank_bm25, bm25_degenerate, round(rrf, 8) AS rrf FROM per_j",
+    "alignment_evidence": f"""WITH {_JOB_CHUNKS}, {_CAND_CHUNKS}, {_WEIGHTS},
+        shown AS (SELECT p.group_id, p.j, jp AS job_profile_type, cp AS cand_profile_type, {_snippet('jt')} AS job_text_snippet, {_snippet('ct')} AS cand_text_snippet FROM per_j p JOIN grid USING (group_id, j, d))
+        SELECT *, array_to_string(list_sort(list_distinct(list_intersect({_tokens('job_text_snippet')}, {_tokens('cand_text_snippet')})))[1:12], '|') AS shared_terms FROM shown""",
+    "evidence_snippets": f"""WITH {_JOB_CHUNKS}, {_CAND_CHUNKS}, {_WEIGHTS},
+        top_j AS (SELECT * FROM per_j QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY round(rrf, 8) DESC, round(cosine, 6) DESC, j) = 1),
+        told AS (SELECT job_id, candidate_id, CASE WHEN jp = 'skill' THEN 'skill' ELSE 'role' END AS source_type, ct AS text, round(cosine, 6) AS similarity FROM met JOIN angle USING (jh, ch)
+            WHERE (jp = 'skill' AND cp = 'skill') OR (jp = 'role' AND cp = 'cand_role')
+            UNION ALL SELECT job_id, candidate_id, 'delivery', {_snippet('ct')}, round(t.cosine, 6) FROM top_j t JOIN grid USING (group_id, j, d))
+        SELECT * FROM told WHERE text <> ''""",
     "delivery_scores": f"WITH {_JOB_CHUNKS}, {_CAND_CHUNKS}, {_DELIVERED} SELECT * FROM delivered",
     "semantic_scoring": f"""WITH {_JOB_CHUNKS}, {_CAND_CHUNKS}, {_DELIVERED},
         sk AS (SELECT job_id, candidate_id, {_band('cosine')} AS skill_band FROM met JOIN angle USING (jh, ch) WHERE jp = 'skill' AND cp = 'skill'), ro AS (SELECT job_id, candidate_id, {_band('cosine')} AS role_band FROM met JOIN angle USING (jh, ch) WHERE jp = 'role' AND cp = 'cand_role')

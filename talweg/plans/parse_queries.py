@@ -66,10 +66,15 @@ def stream_usage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(source).schema
     # the file source wants a folder; the pattern picks the one table
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"usage_{uuid.uuid4().hex}"
-    sink = usage_windows(events).writeStream.format("memory").queryName(name).outputMode("complete")
-    sink.option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "row_count", F.round("sum_value", 4).alias("sum_value"))
+    folder = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}"
+
+    def keep(result: DataFrame, _: int) -> None:
+        result.write.mode("overwrite").parquet(f"{folder}/result")
+
+    keep(usage_windows(spark.read.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).limit(0)), -1)  # an empty stream has no batch
+    run = usage_windows(events).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    run.start().awaitTermination()
+    return spark.read.parquet(f"{folder}/result").select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "row_count", F.round("sum_value", 4).alias("sum_value"))
 
 
 QUERIES = {
