@@ -60,3 +60,9 @@ def test_pairs_are_shuffled_without_their_grid(spark, sf, name):
     before = list(session._cuts)
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert session._cuts == before and "Window" not in plan and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_pool_meets_its_records_once(spark, sf):
+    before = list(session._cuts)
+    plan = QUERIES["pool_matches"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert session._cuts == before and plan.count("Exchange hashpartitioning") <= 7
