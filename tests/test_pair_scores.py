@@ -15,7 +15,7 @@ from talweg.plans.registry import QUERIES
 
 JOB = "id string, title string, raw_jd_text string, structured struct<job_title:string,required_skills:array<string>,preferred_skills:array<string>,responsibilities:array<string>,keywords:array<string>,job_summary:string>"
 MAN = "id string, skills array<string>, direction_tags array<string>, projects array<struct<name:string,role:string,description:string>>, work_experience array<struct<period:string,company:string,title:string,position:string,description:string>>"
-IN_PLACE = ["pool_delivery_scores", "delivery_scores", "pool_semantic_scoring", "semantic_scoring"]
+IN_PLACE = ["pool_delivery_scores", "delivery_scores", "pool_semantic_scoring", "semantic_scoring", "pool_rrf_alignments", "rrf_alignments"]
 
 
 def test_words_are_the_tokens(spark):
